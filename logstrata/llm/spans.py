@@ -42,8 +42,12 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The powers of the base and of its inverse modulo 2**64, at least n of each."""
     if not _powers or len(_powers[0][0]) < n:
-        inverse = pow(_BASE, -1, 1 << 64)
-        _powers[0] = tuple(np.multiply.accumulate(np.concatenate([[1], np.full(n, b, np.uint64)]).astype(np.uint64)) for b in (_BASE, inverse))
+        tables = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            factors = np.full(n + 1, base, np.uint64)
+            factors[0] = 1
+            tables.append(np.multiply.accumulate(factors))
+        _powers[0] = tuple(tables)
     return _powers[0]
 
 
