@@ -50,6 +50,7 @@ NOTATIONS = tuple(
         rf"{_DAY}{_MON}\s+(?P<d>\d{{1,2}})\s+{_CLOCK}{_AMPM}(?:\s*(?P<z>Z|[+-]\d{{2}}:?\d{{2}}|[A-Z]{{3,5}}))?\s+(?P<Y>\d{{4}})",
         rf"{_DAY}{_MON}\s+(?P<d>\d{{1,2}})\s+{_CLOCK}{_ZONE}",
         rf"(?P<m>\d{{1,2}})-(?P<d>\d{{1,2}})\s+{_CLOCK}{_ZONE}",
+        rf"(?P<m>\d{{2}})(?P<d>\d{{2}})\s+{_CLOCK}{_ZONE}",
         rf"(?P<Y>\d{{4}})(?P<m>\d{{2}})(?P<d>\d{{2}})[T\s](?P<H>\d{{2}})(?P<M>\d{{2}})(?P<S>\d{{2}})(?:[.,](?P<f>\d{{1,12}}))?{_ZONE}",
         rf"(?P<Y>\d{{2}})(?P<m>\d{{2}})(?P<d>\d{{2}})\s+(?P<H>\d{{2}}):?(?P<M>\d{{2}}):?(?P<S>\d{{2}})(?:[.,](?P<f>\d{{1,12}}))?{_ZONE}",
         r"(?P<Y>\d{4})-(?P<m>\d{1,2})-(?P<d>\d{1,2})",
@@ -60,7 +61,7 @@ EPOCH = {10: (1000, 1), 13: (1, 1), 16: (1, 1000), 19: (1, 1_000_000)}
 _COMPACT = re.compile(r"(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})?(\d{3})?\Z", re.A)
 _DECIMAL = re.compile(r"(\d{10}|\d{13}|\d{16})[.,](\d+)\Z", re.A)
 #: Strings without a year: only these need a hint of the year in the dictionary.
-NO_YEAR = r"(?i)^[\s\[({]*([a-z]{3,9}[.,]?\s+)?[a-z]{3,9}\.?\s+\d{1,2}\s+\d{1,2}:\d{2}(:\d{2}([.,:]\d+)?)?(\s*(z|[+-]\d{2}:?\d{2}|[a-z]{2,5}))?[\s\])}]*$|^[\s\[({]*\d{1,2}-\d{1,2}\s+\d{1,2}:\d{2}"
+NO_YEAR = r"(?i)^[\s\[({]*([a-z]{3,9}[.,]?\s+)?[a-z]{3,9}\.?\s+\d{1,2}\s+\d{1,2}:\d{2}(:\d{2}([.,:]\d+)?)?(\s*(z|[+-]\d{2}:?\d{2}|[a-z]{2,5}))?[\s\])}]*$|^[\s\[({]*\d{1,2}-?\d{1,2}\s+\d{1,2}:\d{2}"
 #: A space to which the marks around a readable string are stripped.
 PADDING = " \t\r\n\f\v ﻿[](){}<>\"'"
 _EPOCH0 = datetime(1970, 1, 1)

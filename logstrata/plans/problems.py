@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logstrata.operators import hotkeys, timestamps
+from logstrata.operators import entries, hotkeys, timestamps
 from logstrata.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,8 +37,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return timestamps.normalise(lines, sources, F.col("ts"), F.col("stream_id"), F.col("recv_t"), {"line_id": F.col("line_id")})
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return entries.entries(table(spark, d, "raw_lines"), F.col("file_id"), F.col("line_no"), F.col("ts"), F.col("message"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_services, p2_templates, p4_found)}
+    return {f.__name__: f for f in (p2_found, p2_services, p2_templates, p4_found, p5_found)}
 
 
 _SUMMARY = """
