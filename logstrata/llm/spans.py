@@ -231,7 +231,7 @@ class SharedSpans:
         members = keyed.join(groups, ["side", "g"])
         texts = classes.select("c1", "c2", "around", "lead")
         small = members.filter(F.col("n") <= PAIRED).join(texts, ["c1", "c2"])
-        edges = small.groupBy("side", "g").applyInPandas(_compare(span), "e1 bigint, e2 bigint, c1 bigint, c2 bigint, off int, len int")
+        edges = small.repartition("side", "g").sortWithinPartitions("side", "g").mapInPandas(_compare(span), "e1 bigint, e2 bigint, c1 bigint, c2 bigint, off int, len int")
         # larger groups: every span of the exact length around the phrase, by its hash; equal spans meet, no pairs are formed
         large = members.filter(F.col("n") > PAIRED).select("c1", "c2").distinct().join(texts, ["c1", "c2"])
         spans = large.select("c1", "c2", "lead", F.explode(F.sequence(F.lit(0), F.length("around") - span)).alias("i"), "around").select(
@@ -297,17 +297,35 @@ def _common(a: str, b: str) -> int:
 
 
 def _compare(span: int):  # noqa: ANN202
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(pdf[["c1", "c2", "around", "lead"]].itertuples(index=False, name=None))
+    """Pairs within groups of rows that lie side by side; a group has at most PAIRED rows, and no batch ends it."""
+
+    def pairs(rows: list[tuple]) -> list[tuple]:
         out = []
-        for i, (a1, a2, a, la) in enumerate(rows):
-            for b1, b2, b, lb in rows[i + 1 :]:
+        for i, (_, a1, a2, a, la) in enumerate(rows):
+            for _, b1, b2, b, lb in rows[i + 1 :]:
                 right = _common(a[la:], b[lb:])
                 left = _common(a[:la][::-1], b[:lb][::-1])
                 if left + right >= span:
                     # the cell's name: both classes, in an order that doesn't depend on the rows'
-                    (e1, _), (e2, _) = sorted(((a1, a2), (b1, b2)))
-                    out += [(e1, e2 ^ 1, x, y, -left, left + right) for x, y in ((a1, a2), (b1, b2))]
-        return pd.DataFrame(out, columns=["e1", "e2", "c1", "c2", "off", "len"])
+                    e1, e2 = min((a1, a2), (b1, b2))[0], max((a1, a2), (b1, b2))[0]
+                    out += [(e1, e2, x, y, -left, left + right) for x, y in ((a1, a2), (b1, b2))]
+        return out
+
+    def frame(found: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(found, columns=["e1", "e2", "c1", "c2", "off", "len"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group: list[tuple] = []
+        for pdf in batches:
+            found: list[tuple] = []
+            for side, g, *row in pdf[["side", "g", "c1", "c2", "around", "lead"]].itertuples(index=False, name=None):
+                if group and group[0][0] != (side, g):
+                    found += pairs(group)
+                    group = []
+                group.append(((side, g), *row))
+            if found:
+                yield frame(found)
+        if group and (found := pairs(group)):
+            yield frame(found)
 
     return run
