@@ -12,7 +12,7 @@ from logstrata.functions.tokens import param_type, tokenize, type_sequence
 from logstrata.operators import manifest, segments, templates
 from logstrata.operators.search import has_keyword, in_range, level_matches, overlaps, search
 from logstrata.plans.logs import LOGS_SQL, event_logs
-from logstrata.session import table
+from logstrata.session import cut, table
 from logstrata.sources.generate import generate_lines
 from logstrata.sources.parse import infer_level, parse_lines
 from logstrata.sources.wal import parse_wal
@@ -208,7 +208,7 @@ _MAY = " union all ".join(
 
 @query(f"with {LOGS_SQL} {_MAY}")
 def may_exist_keyword(spark, d):  # noqa: ANN001, ANN201
-    meta = _metadata(spark, d)
+    meta = cut(_metadata(spark, d))
     return _answers(lambda k: manifest.may_exist(meta, START, END, k), "may_exist")
 
 
@@ -400,7 +400,7 @@ _ATLEAST = " union all ".join(
 def count_at_least(spark, d):  # noqa: ANN001, ANN201
     logs = event_logs(spark, d)
     found, _ = templates.mine(logs)
-    segs = segments.summaries(logs)
+    found, segs = cut(found), cut(segments.summaries(logs))
     return _answers(lambda k: manifest.count_at_least(segs, found, START, END, k), "at_least")
 
 
