@@ -211,7 +211,8 @@ def phrase_matches(docs: DataFrame, doc: Column, text: Column, queries: dict[int
 
 def bounded_queries(items: DataFrame, item: Column, text: Column, most: int = 100_000) -> dict[int, str]:
     """The query set as a dictionary; more than `most` rows are refused, because they are shipped to every task."""
-    rows = items.select(item.cast("long"), text).filter(item.isNotNull() & text.isNotNull()).limit(most + 1).collect()
+    slim = items.select(item.cast("long").alias("item"), text.alias("text")).filter("item is not null and text is not null")
+    rows = slim.limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} queries: search them in blocks")
     return {r[0]: r[1] for r in rows}
