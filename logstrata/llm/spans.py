@@ -107,6 +107,8 @@ def _sign(min_chars: int):  # noqa: ANN202
         import xxhash
 
         for pdf in batches:
+            if not len(pdf):
+                continue
             docs, texts = pdf["doc"].tolist(), pdf["text"].tolist()
             parts = [(i, start, part) for i, t in enumerate(texts) for start, part in _chunks(t, min_chars)]
             picked: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in texts]
@@ -229,16 +231,17 @@ class SharedSpans:
         ).filter("k is not null").select("c1", "c2", "k.side", "k.g")
         groups = cut(keyed.groupBy("side", "g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
         members = keyed.join(groups, ["side", "g"])
-        texts = classes.select("c1", "c2", "around", "lead")
+        texts = classes.select("c1", "c2", "around", "lead", "a", "b")
         small = members.filter(F.col("n") <= PAIRED).join(texts, ["c1", "c2"])
         edges = small.repartition("side", "g").sortWithinPartitions("side", "g").mapInPandas(_compare(span), "e1 bigint, e2 bigint, c1 bigint, c2 bigint, off int, len int")
         # larger groups: every span of the exact length around the phrase, by its hash; equal spans meet, no pairs are formed
         large = members.filter(F.col("n") > PAIRED).select("c1", "c2").distinct().join(texts, ["c1", "c2"])
-        spans = large.select("c1", "c2", "lead", F.explode(F.sequence(F.lit(0), F.length("around") - span)).alias("i"), "around").select(
-            "c1", "c2", (F.col("i") - F.col("lead")).alias("off"),
+        spans = large.select("c1", "c2", "a", "b", "lead", F.explode(F.sequence(F.lit(0), F.length("around") - span)).alias("i"), "around").select(
+            "c1", "c2", "a", "b", (F.col("i") - F.col("lead")).alias("off"),
             F.xxhash64(F.substr("around", F.col("i") + 1, F.lit(span))).alias("e1"), F.xxhash64(F.lit(7), F.substr("around", F.col("i") + 1, F.lit(span))).alias("e2"),
         )
-        shared = spans.groupBy("e1", "e2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("e1", "e2")
+        # several phrases of one document may lie in the same span; two documents must have it
+        shared = spans.groupBy("e1", "e2").agg(F.min("a").alias("x"), F.max("b").alias("y")).filter("x <> y").select("e1", "e2")
         split = spans.join(shared, ["e1", "e2"]).select("e1", "e2", "c1", "c2", "off", F.lit(span).alias("len"))
         # and a class in itself, if two documents have it
         same = classes.filter((F.col("a") != F.col("b")) & (F.col("width") >= span)).select(
@@ -301,8 +304,10 @@ def _compare(span: int):  # noqa: ANN202
 
     def pairs(rows: list[tuple]) -> list[tuple]:
         out = []
-        for i, (_, a1, a2, a, la) in enumerate(rows):
-            for _, b1, b2, b, lb in rows[i + 1 :]:
+        for i, (_, a1, a2, a, la, first_a, last_a) in enumerate(rows):
+            for _, b1, b2, b, lb, first_b, last_b in rows[i + 1 :]:
+                if min(first_a, first_b) == max(last_a, last_b):
+                    continue  # both are of one document
                 right = _common(a[la:], b[lb:])
                 left = _common(a[:la][::-1], b[:lb][::-1])
                 if left + right >= span:
@@ -318,7 +323,7 @@ def _compare(span: int):  # noqa: ANN202
         group: list[tuple] = []
         for pdf in batches:
             found: list[tuple] = []
-            for side, g, *row in pdf[["side", "g", "c1", "c2", "around", "lead"]].itertuples(index=False, name=None):
+            for side, g, *row in pdf[["side", "g", "c1", "c2", "around", "lead", "a", "b"]].itertuples(index=False, name=None):
                 if group and group[0][0] != (side, g):
                     found += pairs(group)
                     group = []
