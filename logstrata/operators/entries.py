@@ -207,7 +207,8 @@ def _mine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             tokens = tokenize(line)
             if "<T>" in tokens:
                 clusters.add(tokens)
-    yield clusters.frame()
+    if clusters.templates:
+        yield clusters.frame()
 
 
 def _merge_templates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -215,7 +216,8 @@ def _merge_templates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     clusters = Clusters()
     for tokens, n in sorted(rows, key=lambda x: (-x[1], x[0])):
         clusters.add(tokens, n)
-    yield clusters.frame()
+    if clusters.templates:
+        yield clusters.frame()
 
 
 def mine_templates(lines: DataFrame) -> DataFrame:
@@ -383,9 +385,8 @@ def _extract(found: list[Layout]):  # noqa: ANN202
             keep = [h is not None for h in hits]
             out = pdf.loc[keep, ["file_id", "line_no"]].copy()
             hits = [h for h in hits if h is not None]
-            out["t"] = [h[0] for h in hits]
-            out["level"] = [h[1] for h in hits]
-            out["component"] = [h[2] for h in hits]
+            for k, (name, kind) in enumerate((("t", "int64"), ("level", object), ("component", object))):
+                out[name] = pd.Series([h[k] for h in hits], dtype=kind, index=out.index)
             yield out
 
     return run

@@ -161,6 +161,8 @@ def instants(text: str | None, zone: str | None, year_hint: int | None = None) -
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
+        if not len(pdf):
+            continue
         hints = pdf["hint"]
         yield pdf.assign(
             instants=[
