@@ -92,8 +92,8 @@ def padding_needed(v: Column, block: int = BLOCK) -> Column:
     return align_up(v, block) - v
 
 
-def segment_name(segment_id: Column) -> Column:
-    return F.format_string("segment-%08d.mobs", segment_id)
+def segment_name(segment_id: Column, suffix: str = "seg") -> Column:
+    return F.format_string(f"segment-%08d.{suffix}", segment_id)
 
 
 def parse_segment_name(name: Column) -> Column:

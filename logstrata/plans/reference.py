@@ -433,7 +433,7 @@ def varint_sizes(spark, d):  # noqa: ANN001, ANN201
     return event_logs(spark, d).select("seq", scalars.varuint_size(z).alias("size"), scalars.align_up(z).alias("aligned"), scalars.padding_needed(z).alias("padding"))
 
 
-@query("select distinct segment_id, 'segment-' || lpad(cast(segment_id as varchar), 8, '0') || '.mobs' file_name, cast(segment_id as int) parsed from logs")
+@query("select distinct segment_id, 'segment-' || lpad(cast(segment_id as varchar), 8, '0') || '.seg' file_name, cast(segment_id as int) parsed from logs")
 def segment_names(spark, d):  # noqa: ANN001, ANN201
     name = scalars.segment_name(F.col("segment_id"))
     return event_logs(spark, d).select("segment_id").distinct().select("segment_id", name.alias("file_name"), scalars.parse_segment_name(name).alias("parsed"))
