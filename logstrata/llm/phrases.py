@@ -163,25 +163,27 @@ def _exact(p: int, query: np.ndarray, lists: dict[int, np.ndarray], length: int,
 
 def _near(p: int, query: np.ndarray, lists: dict[int, np.ndarray], length: int, slop: int) -> list[tuple[int, int, int]]:
     """Windows of `length` query words holding p that occur in order with at most `slop` words between neighbours."""
-    out = []
+    here, out = lists[int(query[p])], []
+    steps = np.arange(1, slop + 2)
     for s in range(max(0, p - length + 1), min(p, len(query) - length) + 1):
-        here = lists[int(query[p])]  # positions of word p from which the words on both sides can be reached
-        ok = np.ones(len(here), bool)
-        for step, ks in ((1, range(p + 1, s + length)), (-1, range(p - 1, s - 1, -1))):
-            chain = [here]
+        alive = np.arange(len(here))  # places of word p from which both ends of the window are reached
+        for direction, ks in ((1, range(p + 1, s + length)), (-1, range(p - 1, s - 1, -1))):
+            owner, at = alive, here[alive]
             for k in ks:
-                chain.append(lists.get(int(query[k]), here[:0]))
-            # backwards from the far end: a position counts if a counting one of the next word follows within the slop
-            good = chain[-1]
-            for prev in reversed(chain[:-1]):
-                if not len(good):
+                postings = lists.get(int(query[k]))
+                if postings is None or not len(owner):
+                    owner = owner[:0]
                     break
-                i = np.searchsorted(good, prev + 1) if step > 0 else np.searchsorted(good, prev) - 1
-                inside = (i >= 0) & (i < len(good))
-                gap = np.abs(good[np.clip(i, 0, len(good) - 1)] - prev)
-                good = prev[inside & (gap >= 1) & (gap <= slop + 1)]
-            ok &= _contains(good, here) if len(good) else False
-        out += [(int(x), s, length) for x in here[ok]]
+                owner, at = np.repeat(owner, len(steps)), (at[:, None] + direction * steps).ravel()
+                there = _contains(postings, at)
+                owner, at = owner[there], at[there]
+                if len(owner) > 1:  # several ways may lead to one place
+                    fresh = np.unique(np.stack([owner, at]), axis=1)
+                    owner, at = fresh[0], fresh[1]
+            alive = np.unique(owner)
+            if not len(alive):
+                break
+        out += [(int(x), s, length) for x in here[alive]]
     return out
 
 
