@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import time
+from itertools import islice
 
 from pyspark.sql import functions as F
 
@@ -11,9 +12,10 @@ from logstrata.functions.scalars import format_line
 from logstrata.schema import InvalidInput
 from logstrata.session import get_spark
 from logstrata.sources.generate import generate_lines, to_json_lines
+from logstrata.sources.parse import parse_lines
 from logstrata.store import LogStore
 
-USAGE = """usage: python -m logstrata agent <dir> <service> <file>
+USAGE = """usage: python -m logstrata agent <dir> <service> <file, or - for standard input>
        python -m logstrata query <dir> <start_ms> <end_ms> [keyword] [limit]
        python -m logstrata generate <count> <out> [service]
        python -m logstrata stats <dir>"""
@@ -26,6 +28,15 @@ def _number(text: str, name: str) -> int:
         raise InvalidInput(f"{name} is no number: {text}") from None
 
 
+def _read_stdin(store: LogStore, service: str, lines: int = 50_000) -> None:
+    """Append the lines of standard input, some at a time, and put the rest into a segment at its end."""
+    stream = iter(sys.stdin)
+    while block := list(islice(stream, lines)):
+        rows = store.spark.createDataFrame([(x,) for x in block], "value string")
+        store.append(parse_lines(rows, F.col("value"), F.lit(int(time.time() * 1000)), F.lit(service)).select("t", "s", "l", "m"))
+    store.flush()
+
+
 def main(args: list[str]) -> int:
     needed = {"agent": 3, "query": 3, "generate": 2, "stats": 1}
     if not args or args[0] not in needed or len(args) - 1 < needed[args[0]]:
@@ -45,6 +56,8 @@ def main(args: list[str]) -> int:
     elif verb == "stats":
         for k, v in LogStore(get_spark(), rest[0]).stats().items():
             print(f"{k}: {v}")
+    elif rest[2] == "-":
+        _read_stdin(LogStore(get_spark(), rest[0]), rest[1])
     else:
         from logstrata.streaming.ingest import ingest, tail_lines
 

@@ -3,6 +3,7 @@
 Layout below the store's path:
     data/segment_id=N/   rows (seq, chunk_id, t, s, l, m) in the order of arrival
     segments/            one metadata row per segment; a segment exists once its row does
+    templates/           message templates per segment, if they were indexed
     wal/batch=N/         JSON lines of appended rows that no segment holds yet
 """
 
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 
 from logstrata.operators import manifest, segments
 from logstrata.operators.search import has_keyword, in_range, overlaps
-from logstrata.schema import LOG_LINE, CorruptSegment, InvalidInput
+from logstrata.operators.templates import mine
+from logstrata.schema import LOG_LINE, PARTS, CorruptSegment, InvalidInput
 from logstrata.session import cut, ship
 
 _META = (
@@ -145,6 +147,19 @@ class LogStore:
             if self._exists("data"):
                 self._register(self.data(), "rebuild-" + uuid.uuid4().hex, "overwrite")
 
+    def index_templates(self) -> None:
+        """Mine the templates of all segments into templates/; segments written later are unknown to it until the next call."""
+        with self._lock:
+            found, _ = mine(self.data().select("segment_id", "seq", "m"))
+            found.select("segment_id", "pat_id", "parts", "row_count").write.mode("overwrite").option("compression", self.config.codec).parquet(f"{self.path}/templates")
+
+    def templates(self) -> DataFrame:
+        """(segment_id, pat_id, parts, row_count) of the segments whose templates are indexed."""
+        schema = f"segment_id long, pat_id int, parts {PARTS}, row_count long"
+        if not self._exists("templates"):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/templates")
+
     # -- reading
 
     def query_range(self, start: int | None = None, end: int | None = None) -> DataFrame:
@@ -160,9 +175,8 @@ class LogStore:
         return not self.buffered().filter(in_range(start, end) & has_keyword(keyword)).isEmpty()
 
     def count_at_least(self, start: int | None = None, end: int | None = None, keyword: str = "", templates: DataFrame | None = None) -> int:
-        """A lower bound from metadata; without a table of templates only levels are known."""
-        if templates is None:
-            templates = self.spark.createDataFrame([], "segment_id long, parts array<struct<is_param: boolean, text: string>>, row_count long")
+        """A lower bound from metadata; of segments whose templates are not indexed only levels are known."""
+        templates = self.templates() if templates is None else templates
         return manifest.count_at_least(self.segments(), templates, start, end, keyword).first()[0]
 
     def query(self, start: int | None = None, end: int | None = None, keyword: str = "", limit: int | None = 100, order: str = "scan") -> DataFrame:

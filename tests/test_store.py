@@ -110,3 +110,11 @@ def test_dual_threshold(spark):
     out = {r.seq: r.flush for r in segments.dual_threshold(df, 5, 400).collect()}
     # four rows of about 95 bytes and then the long one fill the bytes; after that five rows at a time
     assert out == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 1, 6: 1, 7: 1, 8: 1, 9: 1, 10: 2, 11: 2}
+
+
+def test_indexed_templates_raise_the_lower_bound(spark, tmp_path):
+    store = LogStore(spark, str(tmp_path), StoreConfig(max_buffer_lines=10))
+    store.append(logs(spark, [(i, "s", "I", f"User {i} logged in") for i in range(10)]))
+    assert store.count_at_least(keyword="logged") == 0 and store.count_at_least(keyword="INFO") == 1
+    store.index_templates()
+    assert store.count_at_least(keyword="logged") == 10 and store.count_at_least(5, None, "logged") == 0
