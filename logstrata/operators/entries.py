@@ -107,7 +107,7 @@ def similarity(a: tuple[str, ...], b: tuple[str, ...]) -> float:
 
 
 def merge(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[str, ...]:
-    """The template that covers both: their longest common subsequence, the leftmost of equals, with slots between."""
+    """The template that covers both: their longest common subsequence, its pairs as near as can be, with slots between."""
     if a == b:
         return a
     n, m = len(a), len(b)
@@ -133,17 +133,16 @@ def merge(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[str, ...]:
         gap_b.clear()
 
     i = j = 0
-    while i < n or j < m:
-        if i < n and j < m and a[i] == b[j] and a[i] not in (ANY, WORD) and table[i][j] == table[i + 1][j + 1] + 1:
-            close()
-            out.append(a[i])
-            i, j = i + 1, j + 1
-        elif i < n and (j == m or table[i + 1][j] >= table[i][j + 1]):
-            gap_a.append(a[i])
-            i += 1
-        else:
-            gap_b.append(b[j])
-            j += 1
+    while table[i][j]:
+        # of all pairs with which a longest subsequence can go on, the nearest
+        _, x, y = min((x + y, x, y) for x in range(i, n) for y in range(j, m) if a[x] == b[y] and a[x] not in (ANY, WORD) and table[x][y] == table[i][j] == table[x + 1][y + 1] + 1)
+        gap_a += a[i:x]
+        gap_b += b[j:y]
+        close()
+        out.append(a[x])
+        i, j = x + 1, y + 1
+    gap_a += a[i:]
+    gap_b += b[j:]
     close()
     return tuple(x for k, x in enumerate(out) if x != ANY or k == 0 or out[k - 1] != ANY)
 
