@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from logstrata.functions.scalars import level_bit
 
@@ -18,12 +20,9 @@ def chunk_column(chunk_size: int, seq_in_segment: str = "seq_in_segment") -> Col
     return F.floor(F.col(seq_in_segment) / chunk_size).cast("int")
 
 
-def trigram_bits(text: Column) -> Column:
-    """The bits of all three-character pieces of a text, in time proportional to its length."""
-    chars = F.split(text, "")
-    pieces = F.arrays_zip(chars.alias("a"), F.slice(chars, F.lit(2), F.greatest(F.size(chars), F.lit(0))).alias("b"), F.slice(chars, F.lit(3), F.greatest(F.size(chars), F.lit(0))).alias("c"))
-    whole = F.filter(pieces, lambda x: x["c"].isNotNull())
-    return F.array_distinct(F.transform(whole, lambda x: F.pmod(F.xxhash64(F.concat(x["a"], x["b"], x["c"])), F.lit(TRIGRAM_BITS)).cast("int")))
+def trigram_bits(text: str) -> set[int]:
+    """The bits of all three-character pieces of a text."""
+    return {crc32(x.encode("utf-8", "surrogatepass")) % TRIGRAM_BITS for x in {text[i : i + 3] for i in range(len(text) - 2)}}
 
 
 def summaries(logs: DataFrame, by: tuple[str, ...] = ("segment_id",)) -> DataFrame:
@@ -38,17 +37,26 @@ def summaries(logs: DataFrame, by: tuple[str, ...] = ("segment_id",)) -> DataFra
 def trigram_index(logs: DataFrame, by: tuple[str, ...] = ("segment_id",)) -> DataFrame:
     """(by..., trigrams): set bits of the trigrams of service, level and message, field by field.
 
-    The rows that are shuffled are distinct (segment, bit), at most TRIGRAM_BITS for a segment however long it is.
+    A batch gives each of its segments' bits once, so at most TRIGRAM_BITS rows of a segment leave a batch, and at most
+    as many are kept of it however long it is.
     """
-    bits = F.explode(F.flatten(F.array(*(F.coalesce(trigram_bits(F.col(c)), F.array().cast("array<int>")) for c in ("s", "l", "m")))))
-    return logs.select(*by, bits.alias("bit")).distinct().groupBy(*by).agg(F.sort_array(F.collect_list("bit")).alias("trigrams"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for key, rows in pdf.groupby(list(by), dropna=False, sort=False):
+                pieces = {t[i : i + 3] for c in ("s", "l", "m") for t in rows[c] if t is not None for i in range(len(t) - 2)}
+                bits = sorted({crc32(x.encode("utf-8", "surrogatepass")) % TRIGRAM_BITS for x in pieces})
+                yield pd.DataFrame({**dict(zip(by, key)), "bit": bits}).astype({"bit": "int32"})
+
+    found = logs.select(*by, "s", "l", "m").mapInPandas(run, logs.select(*by).schema.add("bit", IntegerType()))
+    return found.distinct().groupBy(*by).agg(F.sort_array(F.collect_list("bit")).alias("trigrams"))
 
 
 def keyword_possible(keyword: str) -> Column:
     """Whether a segment's trigrams allow the keyword; keywords of less than three characters always may occur."""
     if len(keyword) < 3:
         return F.lit(True)
-    return F.size(F.array_except(trigram_bits(F.lit(keyword)), "trigrams")) == 0
+    return F.size(F.array_except(F.array(*(F.lit(b) for b in sorted(trigram_bits(keyword)))), "trigrams")) == 0
 
 
 def dual_threshold(logs: DataFrame, max_lines: int, max_bytes: int, order: str = "seq") -> DataFrame:
