@@ -14,7 +14,7 @@ from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logstrata.session import broadcast_if_small, cut
@@ -228,3 +228,18 @@ def normalise(
     return left.join(right, ["j0", "j1", "j2"]).select(
         *(F.col(f"k_{n}").alias(n) for n in keep), F.coalesce(fitting, F.array_min("instants")).alias("t")
     )
+
+
+def restored(df: DataFrame, segment: Column, position: Column, delta: Column) -> DataFrame:
+    """df with `t`, the instant of each record of a segment: the sum of the differences up to its position.
+
+    The first record of a segment holds the absolute time.  All copies of a (segment, position) stay and have the same
+    instant, their difference counting once; a null difference counts as none.  Rows without segment or position have
+    no instant.  One shuffle by segment.
+    """
+    placed = segment.isNotNull() & position.isNotNull()
+    w = Window.partitionBy(segment).orderBy(position)
+    before = F.lag(position).over(Window.partitionBy(segment).orderBy(position, delta.asc_nulls_last()))
+    step = F.when(placed & ~before.eqNullSafe(position), delta.cast("long"))
+    # the window's range holds all copies of a position, so that each has the whole sum
+    return df.withColumn("_step", step).withColumn("t", F.when(placed, F.sum("_step").over(w))).drop("_step")

@@ -31,6 +31,13 @@ def p2_templates(spark: SparkSession, d: str) -> DataFrame:
     return hotkeys.key_summary(table(spark, d, "template_records"), F.col("pat_id"), F.col("level"), F.col("ts_delta"))
 
 
+def p2_template_times(spark: SparkSession, d: str) -> DataFrame:
+    """Rows, levels and time range of every template, the instants of its records being restored from the differences."""
+    records = table(spark, d, "template_records").select("segment_id", "original_idx", "ts_delta", "pat_id", "level")
+    timed = timestamps.restored(records, F.col("segment_id"), F.col("original_idx"), F.col("ts_delta"))
+    return hotkeys.key_summary(timed, F.col("pat_id"), F.col("level"), F.col("t"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "log_lines").filter(~F.col("ts").rlike(r"^[0-9]{13}\z"))
     sources = table(spark, d, "log_sources").select(F.col("stream_id").alias("source"), "zone")
@@ -42,7 +49,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_services, p2_templates, p4_found, p5_found)}
+    return {f.__name__: f for f in (p2_found, p2_services, p2_templates, p2_template_times, p4_found, p5_found)}
 
 
 _SUMMARY = """
@@ -53,6 +60,10 @@ from (select *, case when upper(trim(level)) in ('D', 'DEBUG') then 'D' when upp
   when upper(trim(level)) in ('W', 'WARN', 'WARNING') then 'W' when upper(trim(level)) in ('E', 'ERR', 'ERROR') then 'E' end lvl from {table})
 group by 1"""
 
+_RESTORED = """(select r.*, t from template_records r left join (
+  select segment_id, original_idx, cast(sum(ts_delta) over (partition by segment_id order by original_idx) as bigint) t
+  from (select segment_id, original_idx, any_value(ts_delta) ts_delta from template_records group by 1, 2)) i using (segment_id, original_idx))"""
+
 
 def oracle_sql() -> dict[str, str]:
     hot = "select '{t}' tbl, cast({c} as varchar) hot_key from {t} where {c} is not null group by {c} having count(*) >= 0.04 * (select count(*) from {t})"
@@ -60,4 +71,5 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": hot.format(t="log_lines", c="service") + " union all " + hot.format(t="template_records", c="pat_id"),
         "p2_services": _SUMMARY.format(key="service", time="recv_t", table="log_lines"),
         "p2_templates": _SUMMARY.format(key="pat_id", time="ts_delta", table="template_records"),
+        "p2_template_times": _SUMMARY.format(key="pat_id", time="t", table=_RESTORED),
     }

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from logstrata.operators import entries as E
 from logstrata.operators.hotkeys import hot_keys, key_summary
-from logstrata.operators.timestamps import extend_dictionary, instants, normalise
+from logstrata.operators.timestamps import extend_dictionary, instants, normalise, restored
+from logstrata.plans import problems
 
 
 def utc(*a):
@@ -34,6 +35,24 @@ def test_key_summary_levels_and_times(spark):
     assert (got["b"]["n_error"], got["b"]["first_t"]) == (1, None)
 
 
+def test_instants_are_restored_from_differences(spark):
+    rows = [(1, 0, 1000, "a"), (1, 1, -300, "b"), (1, 1, -300, "b"), (1, 3, 50, "a"), (1, 4, None, "b"), (2, 2, 5, "a"), (2, 0, 7000, None), (None, 0, 9, "a"), (1, None, 9, "b")]
+    df = spark.createDataFrame(rows, "seg long, at int, diff long, k string").repartition(3)
+    timed = restored(df, F.col("seg"), F.col("at"), F.col("diff"))
+    assert sorted(((r.seg or 0, -1 if r.at is None else r.at, r.t) for r in timed.collect()), key=repr) == sorted(
+        [(1, 0, 1000), (1, 1, 700), (1, 1, 700), (1, 3, 750), (1, 4, 750), (2, 2, 7005), (2, 0, 7000), (0, 0, None), (1, -1, None)], key=repr)
+    got = {r.key: (r.n_rows, r.first_t, r.last_t) for r in key_summary(timed, F.col("k"), None, F.col("t")).collect()}
+    assert got == {"a": (4, 750, 7005), "b": (4, 700, 750), None: (1, 7000, 7000)}
+
+
+def test_template_times_lie_in_their_segments(spark):
+    d = "/root/testdata/sf0.001"
+    low, high = spark.read.parquet(f"{d}/segments.parquet").agg(F.min("min_ts"), F.max("max_ts")).first()
+    got = problems.p2_template_times(spark, d).collect()
+    assert min(r.first_t for r in got) == low and max(r.last_t for r in got) == high
+    assert sum(r.n_rows for r in got) == spark.read.parquet(f"{d}/template_records.parquet").count()
+
+
 # -- timestamps
 
 T = utc(2024, 3, 31, 12, 0, 5)
