@@ -5,14 +5,16 @@
    token, or a slot of any length.  The templates of all partitions are merged in the same way.
 2. Classification.  Each template's slots get a role from their type, their key and their place: time, level,
    severity, request, component, message.  A template with a time and one of the others is a layout.
-3. Extraction.  Every line is matched against the layouts; the lines between two headers belong to the first.
+3. Extraction.  Every line is matched against the layouts; the lines between two headers belong to the first, and go on
+   its message.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime, timezone
 
 import pandas as pd
@@ -227,11 +229,20 @@ def mine_templates(lines: DataFrame) -> DataFrame:
 
 @dataclass
 class Layout:
-    """A classified template: a pattern with groups for the roles it has."""
+    """A classified template: a pattern with groups for the roles it has, and where the message stands.
+
+    key     pattern of the key that names the message, until the pattern of the next key, if fields have keys
+    lead    else, pattern of what stands between the last role and the message
+    quoted  whether the message stands in quotation marks then
+    """
 
     pattern: str
     n: int
     web: bool = False
+    key: str | None = None
+    until: str | None = None
+    lead: str = ""
+    quoted: bool = False
 
     def whole(self) -> bool:
         """Whether it gives both a level and a component."""
@@ -307,7 +318,54 @@ def classify(tokens: tuple[str, ...], n: int) -> Layout | None:
     # what follows the last role delimits it: a mark of the layout, or the end of the word
     after = tokens[last + 1] if last + 1 < len(tokens) else ANY
     parts.append(r"\s*" + _literal(after) if not _solid(after) and after != ANY else r"(?!\w)")
-    return Layout("".join(parts), n, web)
+    pattern = "".join(parts)
+    if keyed:
+        at = max((i for i in keyed if i < body), default=None) if "message" in roles else None
+        follows = next((i for i in keyed if i > body), None)
+        return Layout(pattern, n, web, *(None if i is None else _literal(tokens[i]) for i in (at, follows)))
+    start = last + 1 if _solid(after) or after == ANY else last + 2
+    return Layout(pattern, n, web, None, None, _lead(tokens[start:body]), tokens[:body].count('"') % 2 == 1)
+
+
+def _lead(tokens: tuple[str, ...]) -> str:
+    """Pattern of the marks, numbers and bracketed words before a message; words and what follows the last mark are the message's."""
+    end = next((i for i, t in enumerate(tokens) if _wordlike(t) and not _inside(tokens, i)), len(tokens))
+    while end and (_solid(tokens[end - 1]) or tokens[end - 1] in "([{"):
+        end -= 1
+    return r"\s*".join(_literal(t) for t in tokens[:end])
+
+
+def message_of(line: str, end: int, layout: Layout) -> str:
+    """The message on the line of a header that ends at `end`; a web request is its whole line.
+
+    A quoted message comes without its marks and escapes.  What a layout doesn't tell from the message stays in it.
+    """
+    if layout.web:
+        return line
+    if layout.key is not None:
+        if line[0] == "{":
+            try:
+                value = json.loads(line, strict=False)[re.sub(r"\\s\*|[\\\":=]", "", layout.key)]
+                return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+            except (ValueError, KeyError, RecursionError):
+                pass  # not whole on this line
+        m = re.search(r"(?<![^\s,;{])" + layout.key + r"\s*", line)
+        if m is None:
+            return line[end:].strip()
+        rest = line[m.end() :]
+        if rest[:1] == '"':
+            value = re.match(r'"((?:[^"\\]|\\.)*)', rest, re.S)[1]
+            try:
+                return json.loads(f'"{value}"', strict=False)
+            except ValueError:
+                return value
+        stop = re.search(r"[\s,;]+" + layout.until, rest) if layout.until else None
+        return rest[: stop.start()] if stop else rest
+    m = re.compile(r"\s*" + layout.lead + r"\s*").match(line, end)
+    rest = line[m.end() :] if m else line[end:].lstrip()
+    if layout.quoted and (m := re.match(r'((?:[^"]|"")*)"\s*(?:,|\Z)', rest)):
+        return m[1].replace('""', '"')
+    return rest
 
 
 def _solid(token: str) -> bool:
@@ -338,6 +396,7 @@ def layouts(templates: list[tuple[tuple[str, ...], int]]) -> list[Layout]:
     hold beyond it are words of messages that too few lines had.
     """
     found: dict[tuple[str, bool], int] = {}
+    first: dict[tuple[str, bool], Layout] = {}
     general: list[tuple[tuple[str, ...], tuple[str, bool]]] = []
     heads = [(t.index(ANY) if ANY in t else len(t), -n, t) for t, n in templates]
     for end, negative, t in sorted(heads):
@@ -348,14 +407,21 @@ def layouts(templates: list[tuple[tuple[str, ...], int]]) -> list[Layout]:
         if key == (x.pattern, x.web) and end < len(t) and "<T>" in t[:end] and x.whole():
             general.append((t[:end], key))
         found[key] = found.get(key, 0) - negative
-    return sorted((Layout(p, n, w) for (p, w), n in found.items()), key=lambda x: (not x.whole(), -x.n, x.pattern))
+        first.setdefault(key, x)
+    return sorted((replace(first[k], n=n) for k, n in found.items()), key=lambda x: (not x.whole(), -x.n, x.pattern))
 
 
 def header(line: str, at_most: int | None, compiled: list[tuple[re.Pattern[str], bool]]) -> tuple[int, str | None, str | None] | None:
     """(t, level, component) if a line carries its own header from the first character on, else None."""
+    found = _header(line, at_most, compiled)
+    return found and found[0]
+
+
+def _header(line: str, at_most: int | None, compiled: list[tuple[re.Pattern[str], bool]]) -> tuple[tuple[int, str | None, str | None], int, int] | None:
+    """The header, where it ends, and the number of its layout."""
     if not line or line[0].isspace():
         return None
-    for pattern, web in compiled:
+    for k, (pattern, web) in enumerate(compiled):
         m = pattern.match(line)
         if not m:
             continue
@@ -372,7 +438,7 @@ def header(line: str, at_most: int | None, compiled: list[tuple[re.Pattern[str],
             continue
         fitting = [t for t in times if at_most is None or t <= at_most]
         t = fitting[-1] if len(times) > 1 and fitting else times[0]
-        return (t, "I", "nginx") if web else (t, level, g.get("component"))
+        return (t, "I", "nginx") if web else (t, level, g.get("component")), m.end(), k
     return None
 
 
@@ -380,11 +446,11 @@ def _extract(found: list[Layout]):  # noqa: ANN202
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         compiled = [(re.compile(x.pattern), x.web) for x in found]
         for pdf in batches:
-            hits = [header(s, None if ts != ts else int(ts), compiled) for s, ts in zip(pdf["line"], pdf["ts"])]
+            hits = [_header(s, None if ts != ts else int(ts), compiled) for s, ts in zip(pdf["line"], pdf["ts"])]
             keep = [h is not None for h in hits]
             out = pdf.loc[keep, ["file_id", "line_no"]].copy()
-            hits = [h for h in hits if h is not None]
-            for k, (name, kind) in enumerate((("t", "int64"), ("level", object), ("component", object))):
+            hits = [(*h[0], message_of(s, h[1], found[h[2]])) for s, h in zip(pdf["line"], hits) if h is not None]
+            for k, (name, kind) in enumerate((("t", "int64"), ("level", object), ("component", object), ("message", object))):
                 out[name] = pd.Series([h[k] for h in hits], dtype=kind, index=out.index)
             yield out
 
@@ -399,17 +465,19 @@ def clean_lines(df: DataFrame, file: Column, line_no: Column, ts: Column, messag
 
 
 def assemble(lines: DataFrame, headers: DataFrame) -> DataFrame:
-    """Entries from lines and headers: (file_id, first_line, last_line, t, level, component).
+    """Entries from lines and headers: (file_id, first_line, last_line, t, level, component, message).
 
     Files are ordered in stretches of lines, so that a file with a third of all lines is spread; what an entry has in
-    the following stretches is found from one row per stretch.
+    the following stretches is found from one row per stretch.  Only an entry's own text comes together in one row.
     """
     stretch = F.floor(F.col("line_no") / STRETCH)
-    solid = lines.filter(F.coalesce("line", F.lit("")).rlike(r"\S")).select("file_id", "line_no", F.lit(False).alias("is_header"), *(F.lit(None).cast(t).alias(c) for c, t in (("t", "long"), ("level", "string"), ("component", "string"))))
+    solid = lines.filter(F.coalesce("line", F.lit("")).rlike(r"\S")).select("file_id", "line_no", F.lit(False).alias("is_header"), F.col("line").alias("message"), *(F.lit(None).cast(t).alias(c) for c, t in (("t", "long"), ("level", "string"), ("component", "string"))))
     marks = solid.unionByName(headers.withColumn("is_header", F.lit(True)).select(solid.columns)).withColumn("stretch", stretch)
     w = Window.partitionBy("file_id", "stretch").orderBy("line_no", F.col("is_header").desc())
     grouped = marks.withColumn("head", F.last(F.when(F.col("is_header"), F.col("line_no")), True).over(w)).groupBy("file_id", "stretch", "head").agg(
-        F.max("line_no").alias("last_line"), *(F.first(c, True).alias(c) for c in ("t", "level", "component"))
+        F.max("line_no").alias("last_line"), *(F.first(c, True).alias(c) for c in ("t", "level", "component")),
+        # of the header's line only its message
+        F.collect_list(F.when(F.col("is_header") | ~F.col("line_no").eqNullSafe(F.col("head")), F.struct("line_no", "message"))).alias("lines"),
     )
     parts = cut(grouped)
     per = parts.groupBy("file_id", "stretch").agg(
@@ -418,23 +486,33 @@ def assemble(lines: DataFrame, headers: DataFrame) -> DataFrame:
     over = Window.partitionBy("file_id").orderBy("stretch")
     numbered = per.withColumn("upto", F.count("last_head").over(over)).withColumn("before", F.col("upto") - F.when(F.col("last_head").isNotNull(), 1).otherwise(0))
     tails = numbered.groupBy("file_id", F.col("before").alias("upto")).agg(F.max("lead_in").alias("tail"))
-    ends = numbered.filter("last_head is not null").join(tails, ["file_id", "upto"], "left").select("file_id", F.col("last_head").alias("head"), "tail")
-    return parts.filter("head is not null").join(ends, ["file_id", "head"], "left").select(
-        "file_id", F.col("head").alias("first_line"), F.greatest("last_line", "tail").alias("last_line"), "t", "level", "component"
+    ends = numbered.filter("last_head is not null").join(tails, ["file_id", "upto"], "left").select("file_id", F.col("last_head").alias("head"), "tail", "upto")
+    leads = parts.filter("head is null").join(numbered.select("file_id", "stretch", F.col("before").alias("upto")), ["file_id", "stretch"])
+    more = leads.groupBy("file_id", "upto").agg(F.flatten(F.collect_list("lines")).alias("more"))
+    ends = ends.join(more, ["file_id", "upto"], "left").drop("upto")
+    # blank lines inside an entry stay, as line breaks
+    broken = lambda x, i: F.concat(F.repeat(F.lit("\n"), x["line_no"] - F.coalesce(F.get("lines", i - 1)["line_no"], x["line_no"])), x["message"])
+    whole = parts.filter("head is not null").join(ends, ["file_id", "head"], "left").withColumn(
+        "lines", F.array_sort(F.when(F.col("more").isNull(), F.col("lines")).otherwise(F.concat("lines", "more")))
     )
+    return whole.select(
+        "file_id", F.col("head").alias("first_line"), F.greatest("last_line", "tail").alias("last_line"), "t", "level", "component",
+        F.array_join(F.transform("lines", broken), "").alias("message"),
+    )
 
 
 def entries(df: DataFrame, file: Column, line_no: Column, ts: Column, message: Column) -> DataFrame:
-    """Log entries of physical lines: (file_id, first_line, last_line, t, level, component).
+    """Log entries of physical lines: (file_id, first_line, last_line, t, level, component, message).
 
     Lines read again count once; rows without file or line number have no place and are left out; null and blank lines
     never end an entry.  Lines before a file's first header belong to none.  t is epoch milliseconds; header times are
     UTC unless an offset is written; a missing year is the latest that does not put the entry after the earliest `ts`
     of the line (the current year's neighbourhood if that is null).  level or component is null where a layout has
-    none.  Without any line that has a header the result is empty.
+    none.  message is what follows the header and the entry's other lines, in order, without terminal codes; the lines
+    are joined by line breaks.  Without any line that has a header the result is empty.
     """
     lines = cut(clean_lines(df, file, line_no, ts, message))
     candidates = lines.filter(F.col("line").rlike(r"^\S") & F.col("line").rlike(_HINT))
     found = layouts([(tuple(r.tokens), r.n) for r in mine_templates(candidates.select("line")).collect()])
-    headers = candidates.mapInPandas(_extract(found), "file_id bigint, line_no int, t bigint, level string, component string")
+    headers = candidates.mapInPandas(_extract(found), "file_id bigint, line_no int, t bigint, level string, component string, message string")
     return assemble(lines, headers)

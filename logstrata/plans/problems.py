@@ -44,12 +44,17 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return timestamps.normalise(lines, sources, F.col("ts"), F.col("stream_id"), F.col("recv_t"), {"line_id": F.col("line_id")})
 
 
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
+def p5_entries(spark: SparkSession, d: str) -> DataFrame:
+    """All entries of raw_lines, with the message of each."""
     return entries.entries(table(spark, d, "raw_lines"), F.col("file_id"), F.col("line_no"), F.col("ts"), F.col("message"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_entries(spark, d).drop("message")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_services, p2_templates, p2_template_times, p4_found, p5_found)}
+    return {f.__name__: f for f in (p2_found, p2_services, p2_templates, p2_template_times, p4_found, p5_entries, p5_found)}
 
 
 _SUMMARY = """

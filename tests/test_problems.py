@@ -137,6 +137,44 @@ def test_entries_of_one_layout(spark):
     assert read(again) == [(f, *w) for f in (0, 1) for w in want]
 
 
+def messages(df):
+    got = E.entries(df, F.col("file"), F.col("no"), F.col("at"), F.col("msg")).collect()
+    return {(r.file_id, r.first_line): r.message for r in got}
+
+
+def test_messages_of_entries(spark):
+    want = {2: "first message here\nTraceback:", 6: "another (INFO) text red\n  > 2025-01-02 10:00:00,001 ERROR [w-0] authz - quoted", 9: "a b c d e f", 10: "short", 11: "x y"}
+    df = raw(spark, RAW, 2)
+    assert messages(df.unionByName(df.limit(5).withColumn("at", F.col("at") + 5))) == {(f, k): m for f in (0, 1) for k, m in want.items()}
+
+
+def test_a_message_spans_stretches(spark):
+    n = 2 * E.STRETCH
+    lines = [RAW[1], *(f"more {i}" for i in range(n - 1)), "", "  end", RAW[8], "tail", *RAW[9:]]
+    got = messages(raw(spark, lines))
+    assert got[(0, 1)] == "\n".join(["first message here", *lines[1 : n + 2]])
+    assert got[(0, n + 3)] == "a b c d e f\ntail" and len(got) == 4
+
+
+@pytest.mark.parametrize("template,line,want", [
+    (("{", '"t":', "<T>", ",", '"s":', '"', E.WORD, '"', ",", '"l":', '"', "<L>", '"', ",", '"m":', '"', E.ANY, '"', "}"),
+     r'{"t":1734995750723,"s":"gc","l":"I","m":"a \"b\" \u00e9, \"m\":1"}', 'a "b" é, "m":1'),
+    (("{", '"level":', '"', "<L>", '"', ",", '"message":', '"', E.ANY, '"', ",", '"timestamp":', '"', "<T>", '"', ",", '"service":', '"', E.WORD, '"', E.ANY, "}"),
+     '{"level": "info", "message": "x | y", "timestamp": "2025-09-07T04:59:32.009Z", "service": "sched", "n": 67}', "x | y"),
+    (("ts=", "<T>", "level=", "<L>", "component=", E.WORD, "msg=", '"', E.ANY, '"'), r'ts=2025-09-07T04:59:11.337Z level=I component=gc msg="a msg=\"b\" c" n=3', 'a msg="b" c'),
+    (("ts=", "<T>", "level=", "<L>", "component=", E.WORD, "msg=", E.ANY), "ts=2025-09-07T04:59:11.337Z level=I component=gc msg=a b=c d", "a b=c d"),
+    (("<", "<N>", ">", "<N>", "<T>", E.WORD, E.WORD, "<N>", "-", "-", E.ANY), "<146>1 2024-12-31T23:54:00.307305Z h36 kv-shard 97 - - - idle - 5", "- idle - 5"),
+    (('"', "<T>", '"', ",", '"', E.WORD, '"', ",", '"', "<L>", '"', ",", '"', E.ANY, '"'), '"2024-08-27 11:34:04","gc","I","a ""b"", c"', 'a "b", c'),
+    (("<L>", "<T>", "<N>", E.WORD, ":", "<N>", "]", E.ANY), "I0304 05:13:25.437348  5037 mail.Spool:632] 7 ] left", "7 ] left"),
+    (("<T>", "|", "<L>", "|", E.WORD, "|", E.ANY), "2025/04/27 08:55:53.970|NOTICE|index-builder|a|b", "a|b"),
+    (("<I>", "-", "-", "[", "<T>", "]", '"', E.WORD, "/", E.WORD, "HTTP", "/", "<N>", '"', "<N>", "<N>"),
+     '10.0.0.1 - - [01/Jan/2025:00:00:01 +0000] "GET /x HTTP/1.1" 200 5', '10.0.0.1 - - [01/Jan/2025:00:00:01 +0000] "GET /x HTTP/1.1" 200 5'),
+])
+def test_message_of_a_layout(template, line, want):
+    layout = E.layouts([(template, 9)])[0]
+    assert E.message_of(line, E.re.match(layout.pattern, line).end(), layout) == want
+
+
 def test_entries_of_nothing(spark):
     assert read(raw(spark, ["no header", "", None, "x" * 200_000])) == []
     assert read(raw(spark, RAW).limit(0)) == []
