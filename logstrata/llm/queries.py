@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from logstrata.llm import packing, phrases, spans, termstats
 from logstrata.llm.runs import runs, text_event
+from logstrata.operators import timestamps
 from logstrata.session import broadcast_if_small, cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +51,21 @@ def p3_runs(spark: SparkSession, d: str) -> DataFrame:
     return logs.select("sequence_id", "first_pos", "last_pos", "n_members", (F.col("last_t") - F.col("first_t")).alias("duration_ms"))
 
 
+def p3_durations(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of both tables with their duration, from the earliest to the latest of the members' own instants.
+
+    The duration is null where fewer than two members have a readable instant; n_timed tells how many have.
+    """
+    lines, sources = table(spark, d, "log_lines"), table(spark, d, "log_sources").select(F.col("stream_id").alias("source"), "zone")
+    timed = timestamps.line_instants(lines, sources, F.col("ts"), F.col("stream_id"), F.col("recv_t"), {c: F.col(c) for c in ("stream_id", "seq", "message")})
+    logs = runs(timed, F.col("stream_id"), F.col("seq"), text_event(F.col("message")), F.col("t"), extent=True)
+    restored = timestamps.restored(template_events(spark, d), F.col("segment_id"), F.col("original_idx"), F.col("ts_delta"))
+    records = runs(restored, F.col("segment_id"), F.col("original_idx"), F.col("event"), F.col("t"), extent=True)
+    took = F.when(F.col("n_timed") > 1, F.col("high_t") - F.col("low_t"))
+    cols = ["sequence_id", "first_pos", "last_pos", "n_members", "n_timed", F.col("low_t").alias("first_t"), F.col("high_t").alias("last_t"), took.alias("duration_ms")]
+    return logs.select(F.lit("log_lines").alias("tbl"), *cols).unionByName(records.select(F.lit("template_records").alias("tbl"), *cols))
+
+
 def p6_packing(spark: SparkSession, d: str) -> DataFrame:
     limits = {r.limit_name: r.capacity_tokens for r in table(spark, d, "pack_limits").collect()}  # three rows, fixed
     return packing.pack_limits(table(spark, d, "documents"), F.col("doc_id"), F.col("text"), limits)
@@ -85,7 +101,7 @@ def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_values, p1_ngrams, p3_found, p3_runs, p6_packing, p7_found, p7_passages, p7_near, p8_found, p8_coverage)}
+    return {f.__name__: f for f in (p1_found, p1_values, p1_ngrams, p3_found, p3_runs, p3_durations, p6_packing, p7_found, p7_passages, p7_near, p8_found, p8_coverage)}
 
 
 _VALUES = """

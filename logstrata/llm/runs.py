@@ -19,8 +19,11 @@ from logstrata.session import cut, partitions
 
 _ENCODED = (
     "chunk int, ord bigint, is_first boolean, is_last boolean, sequence_id bigint, first_pos bigint, last_pos bigint,"
-    " n_members bigint, k1 bigint, k2 bigint, eventful boolean, first_t bigint, last_t bigint"
+    " n_members bigint, k1 bigint, k2 bigint, eventful boolean, first_t bigint, last_t bigint,"
+    " low_t bigint, high_t bigint, n_timed bigint"
 )
+#: A missing time, and what stands for it where the least is looked for.
+_MISSING, _LARGEST = -(2**63), 2**63 - 1
 _FIELDS = ("seq", "pos", "k1", "k2", "ok", "t")
 
 
@@ -51,7 +54,8 @@ def _encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             return None
         out = pd.DataFrame(
             {"chunk": np.int32(chunk), "ord": order, "is_first": is_first, "is_last": is_last, "sequence_id": r["seq"], "first_pos": r["first"],
-             "last_pos": r["last"], "n_members": r["n"], "k1": r["k1"], "k2": r["k2"], "eventful": r["ok"], "first_t": r["t0"], "last_t": r["t1"]}
+             "last_pos": r["last"], "n_members": r["n"], "k1": r["k1"], "k2": r["k2"], "eventful": r["ok"], "first_t": r["t0"], "last_t": r["t1"],
+             "low_t": r["low"], "high_t": r["high"], "n_timed": r["timed"]}
         )
         return out[keep]
 
@@ -75,13 +79,18 @@ def _encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         runs = {
             "seq": a["seq"][start], "first": a["pos"][start], "last": a["pos"][end], "n": end - start + 1, "k1": a["k1"][start],
             "k2": a["k2"][start], "ok": ok[start], "t0": a["t"][start], "t1": a["t"][end],
+            "low": np.minimum.reduceat(np.where(a["t"] == _MISSING, _LARGEST, a["t"]), start), "high": np.maximum.reduceat(a["t"], start),
+            "timed": np.add.reduceat((a["t"] != _MISSING).astype(np.int64), start),
         }
         if open_run is not None:
             same = all(open_run[f][0] == runs[f][0] for f in ("seq", "k1", "k2")) and open_run["ok"][0] and runs["ok"][0]
             if same:
                 for f in ("first", "t0"):
                     runs[f][0] = open_run[f][0]
-                runs["n"][0] += open_run["n"][0]
+                for f in ("n", "timed"):
+                    runs[f][0] += open_run[f][0]
+                runs["low"][0] = min(runs["low"][0], open_run["low"][0])
+                runs["high"][0] = max(runs["high"][0], open_run["high"][0])
             else:
                 runs = {f: np.concatenate([open_run[f], runs[f]]) for f in runs}
         open_run = {f: v[-1:].copy() for f, v in runs.items()}
@@ -91,11 +100,12 @@ def _encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
-def runs(df: DataFrame, sequence: Column, position: Column, event: Column, time: Column | None = None, chunks: int | None = None) -> DataFrame:
+def runs(df: DataFrame, sequence: Column, position: Column, event: Column, time: Column | None = None, chunks: int | None = None, extent: bool = False) -> DataFrame:
     """Maximal runs of two or more consecutive equal events.
 
     Result: (sequence_id, first_pos, last_pos, n_members, first_t, last_t), times being those of the first and the last
-    member (null without `time`).  Consecutive means next existing position.  Rows of equal (sequence, position) count
+    member (null without `time`).  With `extent` also (low_t, high_t, n_timed): the earliest and the latest time of any
+    member, as positions need not follow time, and the number of members that have one.  Consecutive means next existing position.  Rows of equal (sequence, position) count
     once, the one of the earliest time first.  A null event belongs to no run and ends one; rows without sequence or
     position have no place in an order and are left out.  Events are compared by two independent 64-bit hashes of
     their text.  No rows, or no runs, give an empty result.  Other columns are not read.
@@ -109,7 +119,8 @@ def runs(df: DataFrame, sequence: Column, position: Column, event: Column, time:
     ).filter("seq is not null and pos is not null")
     # the raw text travels: it compresses better than hashes, and the event is computed after the shuffle, once
     sorted_rows = placed.repartitionByRange(n, "seq", "pos").sortWithinPartitions("seq", "pos", F.col("t").asc_nulls_last())
-    return merge_chunks(encode_chunks(sorted_rows))
+    found = merge_chunks(encode_chunks(sorted_rows))
+    return found if extent else found.drop("low_t", "high_t", "n_timed")
 
 
 def encode_chunks(sorted_rows: DataFrame) -> DataFrame:
@@ -117,7 +128,7 @@ def encode_chunks(sorted_rows: DataFrame) -> DataFrame:
     hashed = sorted_rows.select(
         "seq", "pos",
         F.xxhash64("event").alias("k1"), F.xxhash64(F.lit(7), "event").alias("k2"), F.col("event").isNotNull().alias("ok"),
-        F.coalesce("t", F.lit(-(2**63))).alias("t"),
+        F.coalesce("t", F.lit(_MISSING)).alias("t"),
     )
     return hashed.mapInPandas(_encode, _ENCODED)
 
@@ -142,13 +153,13 @@ def merge_chunks(encoded: DataFrame) -> DataFrame:
         .agg(
             F.min("first_pos").alias("first_pos"), F.max("last_pos").alias("last_pos"), F.sum("n_members").alias("n_members"),
             F.min_by("first_t", "first_pos").alias("first_t"), F.max_by("last_t", "last_pos").alias("last_t"), F.bool_and("eventful").alias("eventful"),
+            F.min("low_t").alias("low_t"), F.max("high_t").alias("high_t"), F.sum("n_timed").alias("n_timed"),
         )
     )
-    cols = ["sequence_id", "first_pos", "last_pos", "n_members", "first_t", "last_t"]
-    missing = F.lit(-(2**63))
+    cols = ["sequence_id", "first_pos", "last_pos", "n_members", "first_t", "last_t", "low_t", "high_t", "n_timed"]
     return (
         inner.select(*cols, "eventful")
         .unionByName(grouped.select(*cols, "eventful"))
         .filter("eventful and n_members > 1")
-        .select(*cols[:4], *(F.when(F.col(c) != missing, F.col(c)).alias(c) for c in cols[4:]))
+        .select(*cols[:4], *(F.when(~F.col(c).isin(_MISSING, _LARGEST), F.col(c)).alias(c) for c in cols[4:8]), "n_timed")
     )

@@ -196,7 +196,7 @@ def extend_dictionary(spark: SparkSession, path: str, rows: DataFrame) -> DataFr
 
 
 def normalise(
-    df: DataFrame, sources: DataFrame, raw: Column, source: Column, arrival: Column, keep: dict[str, Column], dictionary_path: str | None = None
+    df: DataFrame, sources: DataFrame, raw: Column, source: Column, arrival: Column, keep: dict[str, Column], dictionary_path: str | None = None, unreadable: bool = False
 ) -> DataFrame:
     """Add `t`, the UTC instant in epoch milliseconds, to the columns `keep` of the rows whose string is readable.
 
@@ -204,13 +204,14 @@ def normalise(
     sources     (source, zone): the wall-clock zone of each stream; several rows of one source count as one
     Of several instants the latest not after `arrival` is taken; if all lie after it, or arrival is null, the earliest
     (for a null arrival the year hint is the current year).  Rows whose string is null, empty or unreadable are left
-    out.  Repeated rows stay repeated.  The rows' side of the join back is a plain shuffle, so adaptive execution splits
+    out, or with `unreadable` kept with a null t.  Repeated rows stay repeated.  The rows' side of the join back is a plain shuffle, so adaptive execution splits
     a string that a third of all rows share.
     """
     slim = df.select(raw.alias("raw"), source.alias("source"), arrival.cast("long").alias("arrival"), *(c.alias(f"k_{n}") for n, c in keep.items()))
     zones = sources.groupBy("source").agg(F.min("zone").alias("zone"))
+    hopeful = F.col("raw").rlike("[0-9].*[0-9].*[0-9]")
     rows = (
-        slim.filter(F.col("raw").rlike("[0-9].*[0-9].*[0-9]"))
+        (slim if unreadable else slim.filter(hopeful))
         .join(broadcast_if_small(zones, 200_000), "source", "left")
         .select(
             "raw", "arrival", *(f"k_{n}" for n in keep),
@@ -219,17 +220,27 @@ def normalise(
             F.when(F.col("raw").rlike(NO_YEAR), F.year(F.timestamp_millis("arrival"))).cast("int").alias("hint"),
         )
     )
-    dictionary = cut(build_dictionary(rows)) if dictionary_path is None else extend_dictionary(df.sparkSession, dictionary_path, rows)
+    dictionary = cut(build_dictionary(rows.filter(hopeful))) if dictionary_path is None else extend_dictionary(df.sparkSession, dictionary_path, rows.filter(hopeful))
     # null-safe keys as plain equalities, so that the join hashes on them
     key = [F.col("raw"), F.coalesce("zone", F.lit("")), F.coalesce("hint", F.lit(0))]
     left = rows.select("arrival", *(f"k_{n}" for n in keep), *(c.alias(f"j{i}") for i, c in enumerate(key)))
     right = dictionary.filter(F.size("instants") > 0).select("instants", *(c.alias(f"j{i}") for i, c in enumerate(key)))
     fitting = F.array_max(F.filter("instants", lambda t: t <= F.col("arrival")))
-    return left.join(right, ["j0", "j1", "j2"]).select(
+    return left.join(right, ["j0", "j1", "j2"], "left" if unreadable else "inner").select(
         *(F.col(f"k_{n}").alias(n) for n in keep), F.coalesce(fitting, F.array_min("instants")).alias("t")
     )
 
 
+def line_instants(df: DataFrame, sources: DataFrame, raw: Column, source: Column, arrival: Column, keep: dict[str, Column]) -> DataFrame:
+    """All rows with the columns `keep` and `t`, null where the string denotes no instant.
+
+    Strings of exactly 13 digits are epoch milliseconds as they stand; the rest goes through normalise().
+    """
+    millis = F.coalesce(raw.rlike(r"^[0-9]{13}\z"), F.lit(False))
+    plain = df.filter(millis).select(*(c.alias(n) for n, c in keep.items()), raw.cast("long").alias("t"))
+    return plain.unionByName(normalise(df.filter(~millis), sources, raw, source, arrival, keep, unreadable=True))
+
+
 def restored(df: DataFrame, segment: Column, position: Column, delta: Column) -> DataFrame:
     """df with `t`, the instant of each record of a segment: the sum of the differences up to its position.
 

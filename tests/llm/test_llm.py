@@ -80,6 +80,36 @@ def test_runs(spark, chunks):
     assert runs.runs(df.limit(0), F.col("a"), F.col("b"), F.col("c")).count() == 0
 
 
+@pytest.mark.parametrize("chunks", [1, 5])
+def test_extent_of_runs(spark, chunks):
+    times = [50, 20, None, 70, 60, None, 5, None, None]
+    rows = [(1, i, "x" if i < 5 else "y" if i < 7 else "z", t) for i, t in enumerate(times)] + [(1, 1, "x", 20)]
+    df = spark.createDataFrame(rows, "a long, b long, c string, d long")
+    out = runs.runs(df, F.col("a"), F.col("b"), F.col("c"), F.col("d"), chunks, extent=True).select("first_pos", "n_members", "low_t", "high_t", "n_timed")
+    assert sorted(map(tuple, out.collect())) == [(0, 5, 20, 70, 4), (5, 2, 5, 5, 1), (7, 2, None, None, 0)]
+
+
+def test_durations_of_both_tables(spark):
+    from logstrata.llm import queries
+
+    d = "/root/testdata/sf0.001"
+    key = ["tbl", "sequence_id", "first_pos", "last_pos", "n_members"]
+    got = queries.p3_durations(spark, d).collect()
+    assert Counter(tuple(r[k] for k in key) for r in got) == Counter(tuple(r[k] for k in key) for r in queries.p3_found(spark, d).collect())
+    assert {r.tbl for r in got} == {"log_lines", "template_records"}
+    assert all((r.duration_ms is None) == (r.n_timed < 2) and (r.duration_ms or 0) >= 0 for r in got)
+    # brute force for the records
+    records = {(r.segment_id, r.original_idx): r.ts_delta for r in spark.read.parquet(f"{d}/template_records.parquet").collect()}
+    at, total = {}, defaultdict(int)
+    for (s, i), delta in sorted(records.items()):
+        total[s] += delta
+        at[s, i] = total[s]
+    for r in got:
+        if r.tbl == "template_records":
+            within = [t for (s, i), t in at.items() if s == r.sequence_id and r.first_pos <= i <= r.last_pos]
+            assert (r.first_t, r.last_t, r.n_timed) == (min(within), max(within), len(within))
+
+
 def test_text_event(spark):
     texts = ["Got 5 items", "got  items!", "GOT v2.1 Items", "items got", "12 34", "", None, "a-b c", "a b c", "x" * 100_000]
     df = spark.createDataFrame([(t,) for t in texts], "m string")

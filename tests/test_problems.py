@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logstrata.operators import entries as E
 from logstrata.operators.hotkeys import hot_keys, key_summary
-from logstrata.operators.timestamps import extend_dictionary, instants, normalise, restored
+from logstrata.operators.timestamps import extend_dictionary, instants, line_instants, normalise, restored
 from logstrata.plans import problems
 
 
@@ -102,6 +102,14 @@ def test_year_is_the_latest_not_after_arrival(spark):
     assert get(lines.limit(0)) == []
 
 
+def test_every_line_keeps_its_place(spark):
+    rows = [(1, 1, str(T), T), (2, 1, "2024-03-31 14:00:05", T), (3, 1, None, T), (4, 1, "N/A", T), (5, 1, "2024-13-41T07:00:00Z", T), (6, None, f" {T} ", None), (2, 1, "2024-03-31 14:00:05", T)]
+    lines = spark.createDataFrame(rows, "line_id long, stream_id long, ts string, recv_t long")
+    zones = spark.createDataFrame([(1, "Europe/Berlin")], "source long, zone string")
+    got = line_instants(lines, zones, F.col("ts"), F.col("stream_id"), F.col("recv_t"), {"line_id": F.col("line_id")}).collect()
+    assert sorted((r.line_id, r.t or 0) for r in got) == [(1, T), (2, T), (2, T), (3, 0), (4, 0), (5, 0), (6, T)]
+
+
 def test_dictionary_grows_by_what_is_new(spark, tmp_path):
     rows = spark.createDataFrame([("2024-01-01 00:00:00", "UTC", None), ("x", None, None)], "raw string, zone string, hint int")
     path = str(tmp_path / "dictionary")
