@@ -10,6 +10,7 @@ Layout below the store's path:
 from __future__ import annotations
 
 import threading
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -74,17 +75,27 @@ class LogStore:
         return self.spark.read.schema(schema).parquet(f"{self.path}/data")
 
     def buffered(self) -> DataFrame:
-        """(b, i, t, s, l, m): appended rows that no segment holds; unreadable lines are skipped."""
+        """(b, i, t, s, l, m): appended rows that no segment holds; unreadable lines are skipped, rows with null fields are not."""
         if not self._exists("wal"):
             return self.spark.createDataFrame([], _WAL)
-        return self.spark.read.schema(_WAL).option("mode", "DROPMALFORMED").json(f"{self.path}/wal").filter("t is not null and m is not null")
+        return self.spark.read.schema(_WAL).option("mode", "DROPMALFORMED").json(f"{self.path}/wal").filter("b is not null and i is not null")
 
     # -- writing
 
+    def _next_batch(self) -> int:
+        """A number above that of every waiting batch: the clock's, unless that went back."""
+        last = 0
+        if self._exists("wal"):
+            jvm = self.spark.sparkContext._jvm
+            p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/wal")
+            names = [f.getPath().getName() for f in p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)]
+            last = max((int(n.removeprefix("batch=")) for n in names if n.startswith("batch=")), default=0)
+        return max(last + 1, time.time_ns())
+
     def append(self, rows: DataFrame) -> None:
         """Add rows (t, s, l, m) in their order, and cut segments as far as the thresholds are reached."""
         with self._lock:
-            batch = uuid.uuid4().time
+            batch = self._next_batch()
             numbered = rows.select(F.lit(batch).alias("b"), F.monotonically_increasing_id().alias("i"), "t", "s", "l", "m")
             numbered.write.mode("overwrite").json(f"{self.path}/wal/batch={batch}")
             waiting = self.buffered()
@@ -106,9 +117,10 @@ class LogStore:
         done = rows.filter(F.col("idx") < take)
         self._write(done, "flush-" + uuid.uuid4().hex)
         rest = cut(rows.filter(F.col("idx") >= take).select("b", "i", "t", "s", "l", "m")) if take < n else None
+        batch = self._next_batch()  # above the numbers that the remaining rows keep
         self._delete("wal")
         if rest is not None:
-            rest.write.mode("overwrite").json(f"{self.path}/wal/batch={uuid.uuid4().time}")
+            rest.write.mode("overwrite").json(f"{self.path}/wal/batch={batch}")
 
     def append_batch(self, rows: DataFrame, batch: str) -> None:
         """Write one micro-batch as segments of its own; a batch that was written before is skipped, so replays are harmless."""

@@ -56,6 +56,19 @@ def test_rows_survive_reopening_and_a_lost_manifest(spark, tmp_path):
         again.check()
 
 
+def test_null_fields_and_order_of_appends(spark, tmp_path):
+    store = LogStore(spark, str(tmp_path), StoreConfig(max_buffer_lines=1000))
+    for k in range(6):
+        store.append(logs(spark, [(k, "s", "I", f"m {k}")]))
+    store.append(logs(spark, [(6, "s", "I", None), (None, "s", "I", "no time")]))
+    (tmp_path / "wal" / "batch=1").mkdir()
+    (tmp_path / "wal" / "batch=1" / "broken.json").write_text('{"b":1,"i":0,"t":5,"m":"cut\n{"t":5,"m":"no place"}\n')
+    want = [*(f"m {k}" for k in range(6)), None, "no time"]
+    assert [r.m for r in store.buffered().orderBy("b", "i").collect()] == want
+    store.flush()
+    assert [r.m for r in store.data().orderBy("segment_id", "seq").collect()] == want and store.stats()["buffered_lines"] == 0
+
+
 def test_odd_rows(spark, tmp_path):
     long = "x" * 1_000_000
     rows = [(1, "s", "ERROR", ""), (1, "s", "ERROR", ""), (2, "日志", "I", "用户 张三 登录 🎉"), (3, "s", "I", long), (4, "s", "I", 'quote " and \\ back')]
