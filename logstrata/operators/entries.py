@@ -1,9 +1,8 @@
 """Physical lines of differing layouts to log entries with timestamp, level, component and message.
 
-1. Mining.  Lines that hold a time are cut into typed tokens and clustered, partition by partition, by their longest common
-   subsequence with the cluster's template.  What all members share stays constant; what varies becomes a slot of one
-   token, or a slot of any length.  The templates of all partitions are merged in the same way.
-2. Classification.  Each template's slots get a role from their type, their key and their place: time, level,
+1. Mining.  The header templates of all lines that hold a time are mined, partition by partition, by longest common
+   subsequences (see headers), and the templates of all partitions are merged in the same way.
+2. Classification.  Each template's tokens get a role from their type, their key and their place: time, level,
    severity, request, component, message.  A template with a time and one of the others is a layout.
 3. Extraction.  Every line is matched against the layouts; the lines between two headers belong to the first, and go on
    its message.
@@ -21,210 +20,55 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logstrata.operators.timestamps import MONTHS, instants
+from logstrata.operators import headers
+from logstrata.operators.headers import ADDRESS, ANY, CODE_OF, LEVEL, NUMBER, PATH, TIME, TIMED, WEB, WORD, is_key, role_of
+from logstrata.operators.timestamps import instants
 from logstrata.session import cut, partitions
 
-# Words for the four levels, and the names under which fields are written as key and value.
-LEVEL_WORDS = {
-    "D": ("d", "v", "t", "trace", "trc", "debug", "dbg", "verbose", "fine"),
-    "I": ("i", "n", "info", "inf", "information", "notice"),
-    "W": ("w", "warn", "warning", "wrn"),
-    "E": ("e", "f", "c", "error", "err", "severe", "fatal", "ftl", "crit", "critical", "alert", "emerg", "panic"),
-}
-KEY_ROLES = {
-    "time": ("timestamp", "time", "ts", "t", "@timestamp", "datetime", "date"),
-    "level": ("level", "lvl", "l", "severity", "loglevel"),
-    "component": ("service", "component", "comp", "logger", "s", "module", "app", "svc"),
-    "message": ("message", "msg", "m", "text"),
-}
-CODE_OF = {w: c for c, words in LEVEL_WORDS.items() for w in words}
-ROLE_OF = {k: r for r, keys in KEY_ROLES.items() for k in keys}
-#: How fast the weight of a token falls with its place, and the share of weight that two lines of one layout have in common.
-DECAY, SIMILAR = 0.7, 0.7
-#: Places after which weights no longer change a decision.
-DEEP = 16
-WORD, ANY = "<W>", "<*>"
 #: Lines in a stretch of a file that one window orders.
 STRETCH = 4096
 TERMINAL = r"\x1b\[[0-9;?]*[ -/]*[@-~]|\x1b[@-Z\\-_]"
-
-_MONTH = "|".join(m.capitalize() for m in MONTHS)
-_CLOCK = r"\d{1,2}:\d{2}:\d{2}(?:[.,]\d{1,9})?"
-_OFFSET = r"(?:\s?(?:Z|UTC|GMT|[+-]\d{2}:?\d{2})(?![\w]))?"
-#: Notations of a time of day with its date, as they stand inside a line.
-TIME = (
-    rf"(?<!\d)\d{{4}}[-/.]\d{{2}}[-/.]\d{{2}}[T ]{_CLOCK}{_OFFSET}|\d{{1,2}}/(?:{_MONTH})/\d{{4}}:{_CLOCK}{_OFFSET}"
-    rf"|(?:(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun),?\s+)?(?:\d{{1,2}}\s+(?:{_MONTH})\s+\d{{4}}|(?:{_MONTH})\s+\d{{1,2}}(?:,?\s+\d{{4}})?)\s+{_CLOCK}{_OFFSET}"
-    rf"|(?<!\d)\d{{1,2}}[./]\d{{1,2}}[./]\d{{4}}\s+{_CLOCK}(?:\s?[AaPp][Mm])?{_OFFSET}"
-    rf"|(?<![\d-])\d{{2}}-\d{{2}} {_CLOCK}|(?<!\d)\d{{4}} {_CLOCK}|(?<!\d)\d{{6}} \d{{6}}(?!\d)|(?<![\d.])1\d{{9}}\.\d{{3,9}}(?!\d)|(?<![\d.])1\d{{12}}(?:\d{{3}}|\d{{6}})?(?![\d.])"
-)
-_TOKEN = re.compile(
-    rf"""(?P<K>"[A-Za-z_@][\w@.\-]*"\s*:|(?<![^\s,;])[A-Za-z_@][\w@.\-]*=)|(?P<L>\b[A-Z](?=\d{{4}} \d{{2}}:))|(?P<T>{TIME})|(?P<I>(?<![\w.])\d{{1,3}}(?:\.\d{{1,3}}){{3}}(?![\w.]))|(?P<W>[^\W\d][\w.\-]*)|(?P<N>\d+(?:\.\d+)*)|(?P<P>[^\w\s])"""
-)
 _HINT = r"[0-9]{1,2}:[0-9]{2}|[0-9]{10}|[0-9]{6} [0-9]{6}"
-_TEMPLATE = "tokens array<string>, n bigint"
-
-
-def is_level(word: str) -> bool:
-    """Whether a token is a name of a level; a single letter counts only as a capital."""
-    return word.lower() in CODE_OF and (len(word) > 1 or word.isupper())
-
+_CLUSTER = "tokens array<string>, support array<bigint>, gaps array<bigint>, members bigint, n bigint"
 
-def tokenize(line: str) -> tuple[str, ...]:
-    """Typed tokens of a line without its white space: <T> time, <L> level, <I> address, <N> number; words, keys and marks as they are."""
-    out = []
-    for m in _TOKEN.finditer(line):
-        kind, text = m.lastgroup, m.group()
-        if kind == "W":
-            out.append("<L>" if is_level(text) else text)
-        elif kind == "K":
-            out.append(text.replace(" ", ""))
-        else:
-            out.append(text if kind == "P" else f"<{kind}>")
-    return tuple(out)
 
+def _frame(clusters: headers.Clusters) -> pd.DataFrame:
+    c = clusters.clusters
+    return pd.DataFrame({"tokens": [list(x.tokens) for x in c], "support": [x.support for x in c], "gaps": [x.gaps for x in c], "members": [x.members for x in c], "n": [x.n for x in c]})
 
-def _wordlike(token: str) -> bool:
-    return token == WORD or token[0].isalpha() and token[-1] not in "=:" or token[0] == "_"
 
+def _mine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    clusters = headers.mine(pdf["line"] for pdf in batches)
+    if clusters.clusters:
+        yield _frame(clusters)
 
-def similarity(a: tuple[str, ...], b: tuple[str, ...]) -> float:
-    """Weight of the best common subsequence over the weight of the longer: equal tokens count fully, two words half.
 
-    The weight of a pair falls geometrically with its place, because a layout shows at the start of a line.
-    """
-    a, b = a[:DEEP], b[:DEEP]
-    total = sum(DECAY**i for i in range(max(len(a), len(b))))
-    row = [0.0] * (len(b) + 1)
-    for i, x in enumerate(a):
-        word, previous = _wordlike(x), row
-        row = [0.0]
-        for j, y in enumerate(b):
-            best = row[j] if row[j] > previous[j + 1] else previous[j + 1]
-            if x != ANY and (x == y or word and _wordlike(y)):
-                gain = previous[j] + (1.0 if x == y != WORD else 0.5) * DECAY ** (i if i > j else j)
-                best = gain if gain > best else best
-            row.append(best)
-    return row[-1] / total if total else 0.0
-
-
-def merge(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[str, ...]:
-    """The template that covers both: their longest common subsequence, its pairs as near as can be, with slots between."""
-    if a == b:
-        return a
-    n, m = len(a), len(b)
-    table = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        x, here, below = a[i], table[i], table[i + 1]
-        for j in range(m - 1, -1, -1):
-            if x == b[j] and x != ANY and x != WORD:
-                here[j] = below[j + 1] + 1
-            else:
-                here[j] = below[j] if below[j] >= here[j + 1] else here[j + 1]
-    out: list[str] = []
-    gap_a: list[str] = []
-    gap_b: list[str] = []
-
-    def close() -> None:
-        if gap_a or gap_b:
-            if len(gap_a) == len(gap_b) and ANY not in gap_a and ANY not in gap_b:
-                out.extend(WORD for _ in gap_a)
-            else:
-                out.append(ANY)
-        gap_a.clear()
-        gap_b.clear()
-
-    i = j = 0
-    while table[i][j]:
-        # of all pairs with which a longest subsequence can go on, the nearest
-        _, x, y = min((x + y, x, y) for x in range(i, n) for y in range(j, m) if a[x] == b[y] and a[x] not in (ANY, WORD) and table[x][y] == table[i][j] == table[x + 1][y + 1] + 1)
-        gap_a += a[i:x]
-        gap_b += b[j:y]
-        close()
-        out.append(a[x])
-        i, j = x + 1, y + 1
-    gap_a += a[i:]
-    gap_b += b[j:]
-    close()
-    return tuple(x for k, x in enumerate(out) if x != ANY or k == 0 or out[k - 1] != ANY)
-
-
-def covers(template: tuple[str, ...], tokens: tuple[str, ...]) -> bool:
-    """Whether the template already stands for the tokens: its parts between slots of any length occur in order."""
-    at, n, start, free = 0, len(tokens), 0, False
-    for end in [*(i for i, t in enumerate(template) if t == ANY), len(template)]:
-        part = template[start:end]
-        last = n - len(part)
-        if end == len(template):  # the last part ends the line
-            if last < at or not free and last != at:
-                return False
-            return all(x in (WORD, y) for x, y in zip(part, tokens[last:]))
-        while not all(x in (WORD, y) for x, y in zip(part, tokens[at:])) or at > last:
-            at += 1
-            if not free or at > last:
-                return False
-        at += len(part)
-        start, free = end + 1, True
-    return at == n
-
-
-class Clusters:
-    """Templates under construction."""
-
-    def __init__(self) -> None:
-        self.templates: list[tuple[str, ...]] = []
-        self.counts: list[int] = []
-        self.known: dict[tuple[str, ...], int] = {}
-
-    def add(self, tokens: tuple[str, ...], n: int = 1) -> None:
-        if not tokens:
-            return
-        # lines that differ only in words at the same places are equally like a template as far as weights tell them apart
-        shape = tuple(WORD if _wordlike(t) else t for t in tokens[:DEEP])
-        at = self.known.get(shape)
-        if at is None:
-            best, at = max(((similarity(t, tokens), -k) for k, t in enumerate(self.templates)), default=(0.0, 0))
-            at = -at
-            if best < SIMILAR:
-                at = len(self.templates)
-                self.templates.append(tokens)
-                self.counts.append(0)
-            if len(self.known) > 100_000:
-                self.known.clear()
-            self.known[shape] = at
-        if not covers(self.templates[at], tokens):
-            self.templates[at] = merge(self.templates[at], tokens)
-        self.counts[at] += n
-
-    def frame(self) -> pd.DataFrame:
-        order = sorted(range(len(self.counts)), key=lambda k: (-self.counts[k], self.templates[k]))
-        return pd.DataFrame({"tokens": [list(self.templates[k]) for k in order], "n": [self.counts[k] for k in order]})
+def merge_clusters(found: list[headers.Cluster]) -> headers.Clusters:
+    """Clusters of several partitions as one set, the shortest first."""
+    clusters = headers.Clusters()
+    for c in sorted(found, key=lambda c: (len(c.solid), -c.n, c.tokens)):
+        clusters.add(c)
+    return clusters
 
 
-def _mine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    clusters = Clusters()
-    for pdf in batches:
-        for line in pdf["line"]:
-            tokens = tokenize(line)
-            if "<T>" in tokens:
-                clusters.add(tokens)
-    if clusters.templates:
-        yield clusters.frame()
+def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows = (r for pdf in batches for r in pdf.itertuples(index=False))
+    clusters = merge_clusters([headers.Cluster(tuple(r.tokens), [int(x) for x in r.support], [int(x) for x in r.gaps], int(r.members), int(r.n)) for r in rows])
+    if clusters.clusters:
+        yield _frame(clusters)
 
 
-def _merge_templates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rows = [(tuple(t), n) for pdf in batches for t, n in zip(pdf["tokens"], pdf["n"])]
-    clusters = Clusters()
-    for tokens, n in sorted(rows, key=lambda x: (-x[1], x[0])):
-        clusters.add(tokens, n)
-    if clusters.templates:
-        yield clusters.frame()
+def mine_templates(lines: DataFrame) -> list[tuple[tuple[str, ...], int]]:
+    """(template, lines) of all rows of (line), merged over partitions in rounds of eight.
 
-
-def mine_templates(lines: DataFrame) -> DataFrame:
-    """(tokens, n): the templates of all rows of (line), merged over partitions in two rounds.  As many rows as there are layouts."""
-    found = lines.mapInPandas(_mine, _TEMPLATE)
-    return found.repartition(max(1, partitions(lines) // 8)).mapInPandas(_merge_templates, _TEMPLATE).repartition(1).mapInPandas(_merge_templates, _TEMPLATE)
+    As many as there are layouts: what varies inside a layout, its messages above all, adds none.
+    """
+    found = lines.mapInPandas(_mine, _CLUSTER)
+    n = max(1, partitions(lines) // 8)
+    while n > 1:
+        found, n = found.repartition(n).mapInPandas(_merge, _CLUSTER), n // 8
+    rows = found.repartition(1).mapInPandas(_merge, _CLUSTER).collect()
+    return merge_clusters([headers.Cluster(tuple(r.tokens), list(r.support), list(r.gaps), r.members, r.n) for r in rows]).templates()
 
 
 @dataclass
@@ -234,6 +78,7 @@ class Layout:
     key     pattern of the key that names the message, until the pattern of the next key, if fields have keys
     lead    else, pattern of what stands between the last role and the message
     quoted  whether the message stands in quotation marks then
+    end     tokens of the template up to the last role
     """
 
     pattern: str
@@ -243,6 +88,7 @@ class Layout:
     until: str | None = None
     lead: str = ""
     quoted: bool = False
+    end: int = 0
 
     def whole(self) -> bool:
         """Whether it gives both a level and a component."""
@@ -251,85 +97,116 @@ class Layout:
 
 _WORDS = r"[^\W\d][\w.\-]*+"
 _ROLE_PATTERN = {"time": rf"(?P<time>{TIME})", "level": r"(?P<level>[^\W\d_]++)", "pri": r"(?P<pri>\d{1,3})", "component": rf"(?P<component>{_WORDS})"}
-_TYPE_PATTERN = {"<T>": f"(?:{TIME})", "<L>": r"[^\W\d_]+", "<N>": r"\d+(?:\.\d+)*", "<I>": r"\d+\.\d+\.\d+\.\d+", WORD: r"[^\s\"|,]+?", ANY: r".*?"}
+_TYPE_PATTERN = {TIMED: f"(?:{TIME})", LEVEL: r"[^\W\d_]+", NUMBER: r"\d+(?:\.\d+)*", ADDRESS: r"\d+\.\d+\.\d+\.\d+", WORD: r"[^\s\"|,]+?", PATH: r"\S+", ANY: r".*?"}
+#: What stands between two fields with keys: other fields, quoted values as a whole.
+_SKIP = r'(?:"(?:[^"\\]|\\.)*+"|[^"])*?'
+_PAIRS = {"[": "]", "(": ")", "{": "}"}
 
 
 def classify(tokens: tuple[str, ...], n: int) -> Layout | None:
-    """Roles of a template's slots, and the pattern up to the last of them; None if it is no header.
+    """Roles of a template's tokens, and the pattern up to the last of them; None if it is no header.
 
-    Keys name their values.  Without keys, the first time and the first level are the header's, a number in angle
-    brackets at the start is a severity, the message begins at the first slot of any length, and the component is the
-    last word before it (host, process id and thread stand before, the latter two being no words of their own).
+    Keys name their values; what stands before the first key is told by its place.  The first time and the first level
+    are the header's, a number in angle brackets at the start is a severity.  The component is the last word before the
+    message that a mark, a number or a level follows, as a host, a thread or the first word of a message is not
+    followed by one; else the last word in brackets of its own; else, after a level, the first word there is.
     """
+    keyed = [i for i, t in enumerate(tokens) if is_key(t)]
+    first_key = keyed[0] if keyed else len(tokens)
     roles: dict[str, int] = {}
-    keyed = [i for i, t in enumerate(tokens) if t[-1] in "=:" and len(t) > 1 and t not in ("<:", "<=")]
+    for role, kind in (("time", TIMED), ("level", LEVEL)):
+        at = next((i for i, t in enumerate(tokens[:first_key]) if t == kind), None)
+        if at is not None:
+            roles[role] = at
+    if tokens[:3] == ("<", NUMBER, ">"):
+        roles["pri"] = 1
+    placed = max(roles.values(), default=-1)
+    body = next((i for i in range(placed + 1, first_key) if tokens[i] == ANY), first_key)
+    if (at := _component(tokens, body, "level" in roles or "pri" in roles)) is not None:
+        roles["component"] = at
+    by_key: dict[str, int] = {}
     for i in keyed:
-        role = ROLE_OF.get(tokens[i].strip('":=').lower())
-        j = i + 1
-        if j < len(tokens) and tokens[j] in "\"'":
+        role, j = role_of(tokens[i]), i + 1
+        if j < len(tokens) and tokens[j] == '"':
             j += 1
-        if role and role not in roles and j < len(tokens):
-            if role == "time" and tokens[j] != "<T>" or role == "level" and tokens[j] not in ("<L>", WORD):
-                continue
-            roles[role] = j
-    body = roles.get("message", len(tokens))
-    within = None
-    if not keyed:
-        for role, kind in (("time", "<T>"), ("level", "<L>")):
-            at = next((i for i, t in enumerate(tokens) if t == kind), None)
-            if at is not None:
-                roles[role] = at
-        if tokens[:1] == ("<",) and tokens[1:3] == ("<N>", ">"):
-            roles["pri"] = 1
-        gaps = [i for i, t in enumerate(tokens) if t == ANY]
-        # a slot of any length is still header if a mark ends it and the level, or another such slot, comes after
-        if len(gaps) > 1 and len(tokens[gaps[0] + 1]) == 1 and (gaps[0] < roles["level"] if "level" in roles else "pri" in roles):
-            within = gaps.pop(0)
-        body = gaps[0] if gaps else len(tokens)
-        if roles.get("level", 0) > body:
-            del roles["level"]
-        plain = [i for i in range(body) if i == within or _wordlike(tokens[i]) and not _inside(tokens, i)]
-        if plain:
-            roles["component"] = plain[-1]
-    if "time" not in roles:
+        if role is None or j >= len(tokens) or role in roles or role in by_key:
+            continue
+        if role == "time" and tokens[j] != TIMED or role == "level" and tokens[j] not in (LEVEL, WORD):
+            continue
+        by_key[role] = j
+    if "time" not in roles and "time" not in by_key:
         return None
-    web = "HTTP" in tokens[roles["time"] :] and "level" not in roles and "pri" not in roles
+    web = WEB in tokens and "level" not in roles and "pri" not in roles and not keyed
     if web:
-        roles.pop("component", None)
-    if len(roles.keys() - {"message"}) < 2 and not web:
+        roles = {"time": roles["time"]}
+    if len((roles.keys() | by_key.keys()) - {"message"}) < 2 and not web:
         return None
-    last = max(i for r, i in roles.items() if r != "message") if not web else tokens.index("HTTP", roles["time"])
-    by_place = {i: r for r, i in roles.items() if r in _ROLE_PATTERN}
-    parts = []
-    for i, t in enumerate(tokens[: last + 1]):
-        if i == within and by_place.get(i) == "component":
-            # the last word of the slot, but for a process id in brackets
-            parts.append(rf"(?:.*?\s)??{_ROLE_PATTERN['component']}(?:\[[^\]\s]*\])?")
-        elif by_place.get(i) == "component" and keyed and tokens[i - 1] == '"':
-            parts.append(r'(?P<component>[^"]*)')
-        elif i in by_place:
-            parts.append(_ROLE_PATTERN[by_place[i]])
-        else:
-            parts.append(_literal(t))
-        # two tokens without a mark between them are held apart by white space
-        nxt = tokens[i + 1] if i < last else ""
-        if nxt:
-            parts.append(r"\s+" if _solid(t) and _solid(nxt) and (t, nxt) != ("<L>", "<T>") else r"\s*")
-    # what follows the last role delimits it: a mark of the layout, or the end of the word
-    after = tokens[last + 1] if last + 1 < len(tokens) else ANY
-    parts.append(r"\s*" + _literal(after) if not _solid(after) and after != ANY else r"(?!\w)")
-    pattern = "".join(parts)
-    if keyed:
-        at = max((i for i in keyed if i < body), default=None) if "message" in roles else None
-        follows = next((i for i in keyed if i > body), None)
-        return Layout(pattern, n, web, *(None if i is None else _literal(tokens[i]) for i in (at, follows)))
-    start = last + 1 if _solid(after) or after == ANY else last + 2
-    return Layout(pattern, n, web, None, None, _lead(tokens[start:body]), tokens[:body].count('"') % 2 == 1)
+    fields = sorted((i, r) for r, i in by_key.items() if r != "message")
+    last = tokens.index(WEB) if web else max(roles.values(), default=-1)
+    if fields:
+        last = first_key - 1
+        while last >= 0 and tokens[last] == ANY:
+            last -= 1
+    parts = _by_place(tokens[: last + 1], roles)
+    if fields:
+        for i, role in fields:
+            quoted = tokens[i - 1] == '"'
+            at = i - 2 if quoted else i - 1
+            parts.append((r"[\s,;]*" if at == last + 1 else _SKIP) + _key(tokens[at]) + r"\s*")
+            last = i
+            value = _ROLE_PATTERN[role] if role != "component" else r'(?P<component>[^"]*)' if quoted else r'(?P<component>[^\s,;"}]+)'
+            parts.append(rf'"\s*{value}\s*"' if quoted else value + r"(?!\w)")
+        pattern = "".join(parts)
+    else:
+        # what follows the last role delimits it: a mark of the layout, or the end of the word
+        after = tokens[last + 1] if last + 1 < len(tokens) else ANY
+        delimited = not _solid(after) and after != ANY
+        pattern = "".join(parts) + (r"\s*" + _literal(after) if delimited else r"(?!\w)")
+    if "message" in by_key:
+        at = by_key["message"]
+        key = tokens[at - 2 if tokens[at - 1] == '"' else at - 1]
+        follows = next((_key(tokens[i]) for i in keyed if i > at), None)
+        return Layout(pattern, n, web, _key(key), follows)
+    if fields:
+        return Layout(pattern, n, web, None, None, "")
+    start = last + 2 if delimited else last + 1
+    return Layout(pattern, n, web, None, None, _lead(tokens[start:body]), tokens[:body].count('"') % 2 == 1, last + 1)
+
+
+def _component(tokens: tuple[str, ...], body: int, graded: bool) -> int | None:
+    """The place of the component's word among the tokens before the message, if there is one."""
+    words = [i for i in range(body) if tokens[i] == WORD]
+    plain = [i for i in words if not _inside(tokens, i)]
+    ended = [i for i in plain if i + 1 < len(tokens) and tokens[i + 1] not in (WORD, ANY, PATH)]
+    if ended:
+        return ended[-1]
+    enclosed = [i for i in words if _inside(tokens, i)]
+    if enclosed:
+        return enclosed[-1]
+    return plain[0] if plain and graded else None
+
+
+def _by_place(tokens: tuple[str, ...], roles: dict[str, int]) -> list[str]:
+    """Patterns of the tokens, one after the other; white space may stand between any two of them."""
+    at = {i: r for r, i in roles.items()}
+    parts: list[str] = []
+    for i, t in enumerate(tokens):
+        parts.append(_ROLE_PATTERN[at[i]] if i in at else _literal(t))
+        if i + 1 < len(tokens):
+            # two tokens without a mark between them are held apart by white space
+            nxt = tokens[i + 1]
+            parts.append(r"\s+" if _solid(t) and _solid(nxt) and (t, nxt) != (LEVEL, TIMED) else r"\s*")
+    return parts
+
+
+def _key(token: str) -> str:
+    """The pattern of a key."""
+    return re.escape(token[:-1]) + r"\s*:" if token[-1] == ":" else r"(?<![^\s,;{])" + re.escape(token)
 
 
 def _lead(tokens: tuple[str, ...]) -> str:
     """Pattern of the marks, numbers and bracketed words before a message; words and what follows the last mark are the message's."""
-    end = next((i for i, t in enumerate(tokens) if _wordlike(t) and not _inside(tokens, i)), len(tokens))
+    end = next((i for i, t in enumerate(tokens) if t in (WORD, PATH) and not _inside(tokens, i)), len(tokens))
     while end and (_solid(tokens[end - 1]) or tokens[end - 1] in "([{"):
         end -= 1
     return r"\s*".join(_literal(t) for t in tokens[:end])
@@ -349,7 +226,7 @@ def message_of(line: str, end: int, layout: Layout) -> str:
                 return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
             except (ValueError, KeyError, RecursionError):
                 pass  # not whole on this line
-        m = re.search(r"(?<![^\s,;{])" + layout.key + r"\s*", line)
+        m = re.compile(_SKIP + layout.key + r"\s*").match(line)
         if m is None:
             return line[end:].strip()
         rest = line[m.end() :]
@@ -370,45 +247,36 @@ def message_of(line: str, end: int, layout: Layout) -> str:
 
 def _solid(token: str) -> bool:
     """Whether a token is a word, a number, a time or the like, and no mark."""
-    return token == WORD or token in _TYPE_PATTERN and token != ANY or _wordlike(token)
+    return token in _TYPE_PATTERN and token != ANY or token == WEB
 
 
 def _literal(token: str) -> str:
-    if token in _TYPE_PATTERN:
-        return _TYPE_PATTERN[token]
-    return re.escape(token[:-1]) + r"\s*:" if len(token) > 1 and token.endswith(":") else re.escape(token)
+    return _TYPE_PATTERN[token] if token in _TYPE_PATTERN else re.escape(token)
 
 
 def _inside(tokens: tuple[str, ...], i: int) -> bool:
     """Whether a word stands in brackets of its own, as a thread or a level does."""
-    return 0 < i < len(tokens) - 1 and (tokens[i - 1], tokens[i + 1]) in (("[", "]"), ("(", ")"))
-
-
-def _begins(tokens: tuple[str, ...], head: tuple[str, ...]) -> bool:
-    """Whether tokens begin like a header, a word standing where the header has a slot."""
-    return len(tokens) >= len(head) and all(y == x or x == WORD and _wordlike(y) for x, y in zip(head, tokens))
+    return 0 < i < len(tokens) - 1 and _PAIRS.get(tokens[i - 1]) == tokens[i + 1]
 
 
 def layouts(templates: list[tuple[tuple[str, ...], int]]) -> list[Layout]:
     """The header layouts of mined templates, those with all fields first, then the most frequent.
 
-    A template whose header ends in a slot of any length stands for all templates that begin like its header: what these
+    A frequent template with all fields stands for the rarer ones without keys that begin like its header: what these
     hold beyond it are words of messages that too few lines had.
     """
-    found: dict[tuple[str, bool], int] = {}
-    first: dict[tuple[str, bool], Layout] = {}
-    general: list[tuple[tuple[str, ...], tuple[str, bool]]] = []
-    heads = [(t.index(ANY) if ANY in t else len(t), -n, t) for t, n in templates]
-    for end, negative, t in sorted(heads):
-        x = classify(t, -negative)
+    found: dict[tuple[str, bool], Layout] = {}
+    heads: list[tuple[tuple[str, ...], tuple[str, bool]]] = []
+    for t, n in sorted(templates, key=lambda x: (-x[1], x[0])):
+        x = classify(t, n)
         if x is None:
             continue
-        key = next((k for head, k in general if _begins(t, head)), (x.pattern, x.web))
-        if key == (x.pattern, x.web) and end < len(t) and "<T>" in t[:end] and x.whole():
-            general.append((t[:end], key))
-        found[key] = found.get(key, 0) - negative
-        first.setdefault(key, x)
-    return sorted((replace(first[k], n=n) for k, n in found.items()), key=lambda x: (not x.whole(), -x.n, x.pattern))
+        key = next((k for head, k in heads if t[: len(head)] == head), (x.pattern, x.web))
+        if key not in found and x.whole() and not any(map(is_key, t)):
+            end = t.index(WEB) + 1 if x.web else x.end
+            heads.append((t[:end], key))
+        found[key] = replace(found[key], n=found[key].n + n) if key in found else x
+    return sorted(found.values(), key=lambda x: (not x.whole(), -x.n, x.pattern))
 
 
 def header(line: str, at_most: int | None, compiled: list[tuple[re.Pattern[str], bool]]) -> tuple[int, str | None, str | None] | None:
@@ -513,6 +381,6 @@ def entries(df: DataFrame, file: Column, line_no: Column, ts: Column, message: C
     """
     lines = cut(clean_lines(df, file, line_no, ts, message))
     candidates = lines.filter(F.col("line").rlike(r"^\S") & F.col("line").rlike(_HINT))
-    found = layouts([(tuple(r.tokens), r.n) for r in mine_templates(candidates.select("line")).collect()])
+    found = layouts(mine_templates(candidates.select("line")))
     headers = candidates.mapInPandas(_extract(found), "file_id bigint, line_no int, t bigint, level string, component string, message string")
     return assemble(lines, headers)
