@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -51,18 +53,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the session's checkpoint folder and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder: the cluster's spark.checkpoint.dir, which all executors share.
 
-    The folder is the cluster's spark.checkpoint.dir, which all executors share, so a lost executor loses nothing.
-    Only where the setting is missing, as in tests, a temporary folder takes its place.
+    Only where the setting is missing and all tasks run on this machine, as in tests, a temporary folder takes its
+    place; on a cluster a missing setting is an error, as executors would write to folders of their own.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="logstrata-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="logstrata-")
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the session's checkpoint folder and go on from there, so that a lost executor loses nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """Like cut(), as a compressed table whose `path` can be read elsewhere too; `by` are the columns of its folders."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.path = path
+    return out
+
+
+def read_part(path: str, column: str, value: int):  # noqa: ANN201
+    """In a task: the rows of one folder of a table of written(), as an Arrow table, or None if there is no such folder."""
+    from pyarrow import dataset, fs
+
+    system, root = (fs.LocalFileSystem(), re.sub("^file:/+", "/", path)) if path.startswith(("file:", "/")) else fs.FileSystem.from_uri(path)
+    folder = f"{root}/{column}={value}"
+    if system.get_file_info(folder).type == fs.FileType.NotFound:
+        return None
+    return dataset.dataset(folder, filesystem=system, format="parquet").to_table()
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark df for broadcast if a count proves that it has at most `rows` rows; else leave the join to the optimiser."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
