@@ -100,8 +100,22 @@ def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
     return _shared(spark, d).coverage()
 
 
+def p8_stretches(spark: SparkSession, d: str) -> DataFrame:
+    return _shared(spark, d).stretches()
+
+
+def p8_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row per document: the class of its exact copies."""
+    return _shared(spark, d).membership()
+
+
+def p8_class_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of classes with a common span; with p8_classes they say what p8_found says, without expanding copies."""
+    return _shared(spark, d).class_pairs()
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_values, p1_ngrams, p3_found, p3_runs, p3_durations, p6_packing, p7_found, p7_passages, p7_near, p8_found, p8_coverage)}
+    return {f.__name__: f for f in (p1_found, p1_values, p1_ngrams, p3_found, p3_runs, p3_durations, p6_packing, p7_found, p7_passages, p7_near, p8_found, p8_coverage, p8_stretches, p8_classes, p8_class_pairs)}
 
 
 _VALUES = """
@@ -131,11 +145,45 @@ _TEMPLATE_EVENTS = r"""
 _RUN_ROWS = "select {tbl} sid sequence_id, min(pos) first_pos, max(pos) last_pos, count(*) n_members{more} from g where ev is not null group by sid, run having count(*) > 1"
 
 
+_SHARED = """
+with d as (select doc_id, text from documents where length(text) >= 300),
+t as (select text, min(doc_id) rep, count(distinct doc_id) > 1 copied from d group by 1),
+c as (select rep, o, text[o + 1:o + 799] x from (select rep, text, unnest(range(0, length(text) - 299, 500)) o from t)),
+s as materialized (select rep, o + unnest(range(0, least(500, length(x) - 299))) i, unnest(list_transform(range(0, least(500, length(x) - 299)), lambda i: hash(x[i + 1:i + 300]))) h from c),
+r as (select h from s group by 1 having min(rep) <> max(rep)),
+m as (select doc_id, rep, copied, length(text) n from d join t using (text))
+"""
+_CLASS_PAIRS = ", k as (select distinct h, rep from s semi join r using (h)), p as (select distinct a.rep x, b.rep y from k a join k b on a.h = b.h and a.rep < b.rep) "
+_STRETCHES = """, w as (select rep, i, case when i <= lag(i) over (partition by rep order by i) + 300 then 0 else 1 end fresh from (select distinct rep, i from s semi join r using (h))),
+g as (select rep, i, sum(fresh) over (partition by rep order by i) k from w),
+z as (select doc_id, case when copied then 0 else a end as "start", case when copied then n else b - a end as "length" from m left join (select rep, k, min(i) a, max(i) + 300 b from g group by 1, 2) using (rep) where copied or a is not null),
+st as (select distinct doc_id, "start", "length" from z) """
+_LEAKS = r"""
+with i as (select item_id, regexp_extract_all(lower(text), '[\pL\pN]+') w from eval_items),
+d as (select doc_id, regexp_extract_all(lower(text), '[\pL\pN]+') w from documents),
+ig as (select distinct item_id, array_to_string(w[k:k + 11], ' ') g from (select item_id, w, unnest(range(1, len(w) - 10)) k from i)),
+dg as (select distinct doc_id, array_to_string(w[k:k + 11], ' ') g from (select doc_id, w, unnest(range(1, len(w) - 10)) k from d))
+select distinct doc_id, item_id from dg join ig using (g)"""
+_NGRAMS = """
+with r as (select segment_id, original_idx, any_value(pat_id) pat_id, first(params) params from template_records group by 1, 2),
+t as (select segment_id, original_idx, list_concat(case when pat_id is null then [] else ['pat_id|-1|' || pat_id] end,
+  list_transform(list_filter(coalesce(params, []), lambda p: p.bytes is not null), lambda p: 'bytes|' || coalesce(cast(p.ty as varchar), '') || '|' || hex(p.bytes))) w from r),
+g as (select segment_id, original_idx, n, array_to_string(w[k:k + n - 1], ' ') gram from (select *, unnest(range(1, len(w) - n + 2)) k from t, (values (1), (2), (3)) x(n)))
+select gram, cast(n as int) n_terms, count(*) occurrences, count(distinct (segment_id, original_idx)) records from g group by 1, 2"""
+
+
 def oracle_sql() -> dict[str, str]:
     run = lambda events, tbl, more="": _RUNS.format(events=events) + _RUN_ROWS.format(tbl=tbl, more=more)
     return {
         "p1_values": _VALUES + "select field, ty, val, occurrences, records, mark from m",
         "p1_found": _VALUES + "select field, ty, val, mark from m where mark is not null",
         "p3_found": f"select * from ({run(_LOG_EVENTS, "'log_lines' tbl,")}) union all select * from ({run(_TEMPLATE_EVENTS, "'template_records' tbl,")})",
+        "p1_ngrams": _NGRAMS,
+        "p7_found": _LEAKS.replace("\\\\", "\\"),
+        "p8_found": _SHARED + _CLASS_PAIRS + ", e as (select * from p union all select rep, rep from t where copied) select distinct least(a.doc_id, b.doc_id) doc_a, greatest(a.doc_id, b.doc_id) doc_b from e join m a on a.rep = x join m b on b.rep = y where a.doc_id <> b.doc_id",
+        "p8_class_pairs": _SHARED + _CLASS_PAIRS + "select x class_a, y class_b from p",
+        "p8_classes": "select distinct doc_id, min(doc_id) over (partition by text) class_id from documents where text is not null",
+        "p8_stretches": _SHARED + _STRETCHES + "select * from st",
+        "p8_coverage": _SHARED + _STRETCHES + 'select doc_id, coalesce(length(text), 0) n_chars, cast(coalesce(sum("length"), 0) as bigint) shared_chars from documents left join st using (doc_id) group by all',
         "p3_runs": run(_LOG_EVENTS, "", ", max_by(t, pos) - min_by(t, pos) duration_ms"),
     }

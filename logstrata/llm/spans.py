@@ -1,12 +1,15 @@
 """Long spans that recur verbatim in other documents, by repeated-phrase automata.
 
 1. Winnowing picks phrases of PHRASE characters such that any span of min_chars holds one, picked alike in every document
-   that has the span.  Only their 64-bit hashes move.
-2. Phrases picked in two or more different texts recur.  The documents that hold one are gathered; each task compiles an
-   Aho-Corasick automaton of the recurring phrases of its own documents (a shard) and streams the documents through it,
-   which confirms the phrases character by character and locates every occurrence with what stands around it.
-3. Occurrences with equal surroundings form a class.  Classes that agree on a phrase and some of its surroundings are
-   compared character by character; groups too large to compare in pairs are split by every whole span instead.
+   that has the span.  Only their 64-bit hashes move; those of two or more different texts are candidates.
+2. The candidates' phrases are cut out where the documents lie, and those that two or more different texts hold, character
+   for character, are confirmed.
+3. The confirmed phrases are sharded by the parts of the corpus that hold any of their candidates.  Every part compiles an
+   Aho-Corasick automaton of its shard and streams all its documents through it, which locates every occurrence.  No
+   place is handed on from the first step, and no text is shuffled but that of phrases and their surroundings.
+4. Occurrences with equal surroundings form a class.  Classes share a span where one of the spans around the phrase has the
+   same hash in both: first those on a coarse grid are compared, then those between two grid points where the grid
+   leaves it open.  Equal spans meet by their hash; no pairs are formed, however large a group is.
 
 Exact copies are one text throughout and are expanded only in the result.
 """
@@ -17,21 +20,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logstrata.session import bound_batches, cut
+from logstrata.session import bound_batches, broadcast_if_small, cut, read_part, written
 
 MIN_CHARS = 300
 #: Characters of a phrase.  Of the min_chars - PHRASE + 1 phrases of a span one is picked.
 PHRASE = 100
-#: Characters hashed at once, and phrases of one automaton; they bound a worker's memory.
-CHUNK, AUTOMATON = 1 << 20, 5_000
-#: Classes of one group that are compared in pairs; larger groups are split by whole spans.
-PAIRED = 40
-_SIGNATURE = "doc bigint, h1 bigint, h2 bigint, n_chars int, hashes array<bigint>, places array<int>"
+#: Characters hashed at once, rows of a part, and phrases of one automaton; they bound a worker's memory.
+CHUNK, PART_ROWS, AUTOMATON = 1 << 20, 1024, 20_000
+#: Intervals of the grid of spans around a phrase.
+INTERVALS = 8
+#: Candidate hashes that may be broadcast; beyond it the join shuffles.
+BROADCAST_HASHES = 1_000_000
+_SIGNATURE = "part bigint, doc bigint, h1 bigint, h2 bigint, n_chars int, hashes array<bigint>, places array<int>"
 _OCCURRENCE = "doc bigint, place int, lead int, width int, c1 bigint, c2 bigint, around string"
-_INDEX_BITS = np.uint64(24)
 _INDEX_MASK = np.uint64((1 << 24) - 1)
 # Odd multipliers of the rolling and of the mixing hash.
 _BASE = 0x9E3779B97F4A7C15
@@ -102,14 +106,19 @@ def _chunks(text: str, min_chars: int) -> Iterator[tuple[int, str]]:
         yield start, text[start : start + CHUNK + min_chars - 1]
 
 
+def _digests(texts: list[str]) -> np.ndarray:
+    """Two 64-bit halves of a hash of each text."""
+    import xxhash
+
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts), np.int64).reshape(-1, 2)
+
+
 def _sign(min_chars: int):  # noqa: ANN202
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
         for pdf in batches:
             if not len(pdf):
                 continue
-            docs, texts = pdf["doc"].tolist(), pdf["text"].tolist()
+            texts = pdf["text"].tolist()
             parts = [(i, start, part) for i, t in enumerate(texts) for start, part in _chunks(t, min_chars)]
             picked: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in texts]
             lot: list[tuple[int, int, str]] = []
@@ -121,57 +130,97 @@ def _sign(min_chars: int):  # noqa: ANN202
                     for (i, start, _), (hashes, places) in zip(lot, pick([x[2] for x in lot], min_chars=min_chars)):
                         picked[i].append((hashes, places + np.int32(start)))
                     lot, size = [], 0
-            digests = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts]
-            h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            h = _digests(texts)
             yield pd.DataFrame(
-                {"doc": docs, "h1": h[:, 0], "h2": h[:, 1], "n_chars": np.array([len(t) for t in texts], np.int32),
+                {"part": pdf["part"], "doc": pdf["doc"], "h1": h[:, 0], "h2": h[:, 1], "n_chars": np.array([len(t) for t in texts], np.int32),
                  "hashes": [np.concatenate([x[0] for x in p]) for p in picked], "places": [np.concatenate([x[1] for x in p]) for p in picked]}
             )
 
     return run
 
 
-def _locate(min_chars: int):  # noqa: ANN202
-    reach = min_chars - PHRASE
+def _by_part(batches: Iterator[pd.DataFrame], path: str) -> Iterator[tuple[int, pd.DataFrame, pd.DataFrame | None, bool]]:
+    """(part, rows, what the table at path holds for the part, whether the part is new); parts lie one after the other."""
+    part, held = None, None
+    for pdf in batches:
+        for value, rows in pdf.groupby("part", sort=False):
+            fresh = value != part
+            if fresh:
+                table = read_part(path, "part", int(value))
+                part, held = value, None if table is None else table.to_pandas(integer_object_nulls=True)
+            yield part, rows, held, fresh
+
+
+def _cut_out(path: str):  # noqa: ANN202
+    """Phrases at the candidates' places, where the documents lie: (part, phrase, digest of the text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted: dict[tuple[int, int], list[int]] = {}
+        for part, rows, held, fresh in _by_part(batches, path):
+            if held is None:
+                continue
+            if fresh:
+                wanted = {(d, h): list(p) for d, h, p in held[["doc", "h1", "places"]].itertuples(index=False, name=None)}
+                docs = {d for d, _ in wanted}
+            rows = rows[rows["doc"].isin(docs)]
+            texts = rows["text"].tolist()
+            found = []
+            for doc, text, h1 in zip(rows["doc"], texts, _digests(texts)[:, 0].tolist() if texts else ()):
+                found += [(part, text[p : p + PHRASE], h1) for p in wanted.get((doc, h1), ())]
+            if found:
+                yield pd.DataFrame(found, columns=["part", "phrase", "h1"]).drop_duplicates()
+
+    return run
+
+
+def _locate(min_chars: int, path: str):  # noqa: ANN202
+    """Every occurrence of the shard's phrases in the documents of a part, with what stands around it."""
+    reach = min_chars - PHRASE
+
+    def automata(phrases: list[str]) -> list:
         import ahocorasick
-        import xxhash
 
-        def shard(docs: list[tuple[int, str]], phrases: set[str]) -> pd.DataFrame:
+        out = []
+        for start in range(0, len(phrases), AUTOMATON):
             automaton = ahocorasick.Automaton()
-            for p in phrases:
+            for p in phrases[start : start + AUTOMATON]:
                 automaton.add_word(p, None)
             automaton.make_automaton()
-            rows = []
-            for doc, text in docs:
-                seen: set[bytes] = set()
-                for end, _ in automaton.iter(text):
-                    place = end - PHRASE + 1
-                    start = max(0, place - reach)
-                    around = text[start : place + PHRASE + reach]
-                    digest = xxhash.xxh3_128_digest(f"{place - start} {around}".encode("utf-8", "surrogatepass"))
-                    if digest in seen:  # the same surroundings again in this document prove nothing new about others
-                        rows.append((doc, place, place - start, len(around), digest, None))
-                    else:
-                        seen.add(digest)
-                        rows.append((doc, place, place - start, len(around), digest, around))
-            h = np.frombuffer(b"".join(r[4] for r in rows), np.int64).reshape(-1, 2)
-            out = pd.DataFrame([(*r[:4], r[5]) for r in rows], columns=["doc", "place", "lead", "width", "around"])
-            out["c1"], out["c2"] = h[:, 0], h[:, 1]
-            return out[["doc", "place", "lead", "width", "c1", "c2", "around"]]
-
-        docs: list[tuple[int, str]] = []
-        phrases: set[str] = set()
-        for pdf in batches:
-            for doc, text, places in zip(pdf["doc"], pdf["text"], pdf["places"]):
-                docs.append((doc, text))
-                phrases.update(text[p : p + PHRASE] for p in places)
-                if len(phrases) >= AUTOMATON:
-                    yield shard(docs, phrases)
-                    docs, phrases = [], set()
-        if docs:
-            yield shard(docs, phrases)
+            out.append(automaton)
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        compiled: list = []
+        copies: set[tuple[int, int]] = set()
+        for _, rows, held, fresh in _by_part(batches, path):
+            if held is None:
+                continue
+            if fresh:
+                compiled = automata(held["phrase"].dropna().tolist())
+                copies = set(held.loc[held["phrase"].isna(), ["doc", "h1"]].astype("int64").itertuples(index=False, name=None))
+                copied = {d for d, _ in copies}
+            found, texts = [], []
+            for doc, text in zip(rows["doc"], rows["text"]):
+                if doc in copied and (doc, int(_digests([text])[0, 0])) in copies:
+                    continue
+                seen: dict[tuple[int, str], int] = {}
+                for automaton in compiled:
+                    for end, _ in automaton.iter(text):
+                        place = end - PHRASE + 1
+                        start = max(0, place - reach)
+                        around = text[start : place + PHRASE + reach]
+                        key = (place - start, around)
+                        if key not in seen:
+                            seen[key] = len(texts)
+                            texts.append(f"{place - start} {around}")
+                            found.append((doc, place, place - start, len(around), seen[key], around))
+                        else:  # the same surroundings again in this document prove nothing new about others
+                            found.append((doc, place, place - start, len(around), seen[key], None))
+            if found:
+                out = pd.DataFrame(found, columns=["doc", "place", "lead", "width", "c", "around"])
+                h = _digests(texts)[out.pop("c").to_numpy()]
+                out["c1"], out["c2"] = h[:, 0], h[:, 1]
+                yield out[["doc", "place", "lead", "width", "c1", "c2", "around"]]
 
     return run
 
@@ -189,78 +238,112 @@ class SharedSpans:
             raise ValueError(f"min_chars must be at least {2 * PHRASE}")
         bound_batches(df.sparkSession)
         self.min_chars, self.reach = min_chars, min_chars - PHRASE
-        slim = df.select(doc.cast("long").alias("doc"), text.alias("text"))
-        self.docs = slim.filter(F.col("doc").isNotNull() & (F.length("text") >= min_chars))
+        self.given = df.select(doc.cast("long").alias("doc"), text.alias("text"))
+        held = self.given.filter(F.col("doc").isNotNull() & (F.length("text") >= min_chars))
+        #: the documents as a table, as the same rows must form the same parts whenever it is read
+        self.docs = written(held.withColumn("part", F.shiftrightunsigned(F.monotonically_increasing_id(), PART_ROWS.bit_length() - 1)))
         self.signatures = cut(self.docs.mapInPandas(_sign(min_chars), _SIGNATURE))
-        key = ["h1", "h2", "n_chars"]
         #: one row per text: its lowest document stands for all copies
-        self.texts = cut(self.signatures.groupBy(*key).agg(F.min("doc").alias("rep"), F.max("doc").alias("last"), F.min_by(F.struct("hashes", "places"), "doc").alias("p")))
+        self.texts = cut(self.signatures.groupBy("h1", "h2", "n_chars").agg(F.min("doc").alias("rep"), F.max("doc").alias("last")))
         self.occurrences = self._occurrences()
-        self._cells()
+        self.classes = cut(
+            self.occurrences.groupBy("c1", "c2").agg(
+                F.max("around").alias("around"), F.max("lead").alias("lead"), F.max("width").alias("width"), F.min("doc").alias("a"), F.max("doc").alias("b"),
+            )
+        )
 
     def members(self) -> DataFrame:
         """(doc, rep): every document and the one that stands for its text, of those texts that have copies."""
         copies = self.texts.filter("rep <> last").select("h1", "h2", "n_chars", "rep")
         return self.signatures.select("doc", "h1", "h2", "n_chars").join(copies, ["h1", "h2", "n_chars"]).select("doc", "rep").distinct()
 
+    def confirmed(self) -> DataFrame:
+        """(part, phrase): phrases that two different texts hold, character for character, and the parts that hold them."""
+        picks = self.signatures.select("part", "doc", "h1", F.explode(F.arrays_zip("hashes", "places")).alias("x"))
+        recurring = cut(picks.groupBy(F.col("x.hashes").alias("h")).agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low <> high").select("h"))
+        candidates = picks.select("part", "doc", "h1", F.col("x.hashes").alias("h"), F.col("x.places").alias("place")).join(broadcast_if_small(recurring, BROADCAST_HASHES), "h", "left_semi")
+        places = written(candidates.groupBy("part", "doc", "h1").agg(F.collect_set("place").alias("places")).repartition("part"), "part")
+        cuts = cut(self.docs.select("part", "doc", "text").mapInPandas(_cut_out(places.path), "part bigint, phrase string, h1 bigint"))
+        known = cuts.groupBy("phrase").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low <> high").select("phrase")
+        return cuts.select("part", "phrase").distinct().join(known, "phrase", "left_semi")
+
     def _occurrences(self) -> DataFrame:
-        postings = self.texts.select("rep", F.explode(F.arrays_zip("p.hashes", "p.places")).alias("x")).select("rep", F.col("x.hashes").alias("h"), F.col("x.places").alias("place"))
-        recurring = cut(postings.groupBy("h").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("h"))
-        places = postings.join(recurring, "h", "left_semi").groupBy("rep").agg(F.collect_set("place").alias("places"))
-        held = self.docs.join(places.withColumnRenamed("rep", "doc"), "doc").select("doc", "text", "places")
-        return cut(held.mapInPandas(_locate(self.min_chars), _OCCURRENCE))
-
-    def _cells(self) -> None:
-        """Cells: sets of occurrences that share one span; and where in each document the span lies."""
-        occ, reach, span = self.occurrences, self.reach, self.min_chars
-        classes = cut(
-            occ.groupBy("c1", "c2").agg(
-                F.max("around").alias("around"), F.max("lead").alias("lead"), F.max("width").alias("width"),
-                F.min("doc").alias("a"), F.max("doc").alias("b"),
-            )
-        )
-        # a common span leaves at least half of the reach on one side of the phrase
-        half = reach // 2
-        hashed = lambda start, length: F.xxhash64(F.substr("around", start + 1, F.lit(length)))
-        keyed = classes.select(
-            "c1", "c2",
-            F.explode(F.array(
-                F.when(F.col("lead") >= half, F.struct(F.lit(0).alias("side"), hashed(F.col("lead") - half, half + PHRASE).alias("g"))),
-                F.when(F.col("width") - F.col("lead") >= PHRASE + half, F.struct(F.lit(1).alias("side"), hashed(F.col("lead"), half + PHRASE).alias("g"))),
-            )).alias("k"),
-        ).filter("k is not null").select("c1", "c2", "k.side", "k.g")
-        groups = cut(keyed.groupBy("side", "g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-        members = keyed.join(groups, ["side", "g"])
-        texts = classes.select("c1", "c2", "around", "lead", "a", "b")
-        small = members.filter(F.col("n") <= PAIRED).join(texts, ["c1", "c2"])
-        edges = small.repartition("side", "g").sortWithinPartitions("side", "g").mapInPandas(_compare(span), "e1 bigint, e2 bigint, c1 bigint, c2 bigint, off int, len int")
-        # larger groups: every span of the exact length around the phrase, by its hash; equal spans meet, no pairs are formed
-        large = members.filter(F.col("n") > PAIRED).select("c1", "c2").distinct().join(texts, ["c1", "c2"])
-        spans = large.select("c1", "c2", "a", "b", "lead", F.explode(F.sequence(F.lit(0), F.length("around") - span)).alias("i"), "around").select(
-            "c1", "c2", "a", "b", (F.col("i") - F.col("lead")).alias("off"),
-            F.xxhash64(F.substr("around", F.col("i") + 1, F.lit(span))).alias("e1"), F.xxhash64(F.lit(7), F.substr("around", F.col("i") + 1, F.lit(span))).alias("e2"),
-        )
-        # several phrases of one document may lie in the same span; two documents must have it
-        shared = spans.groupBy("e1", "e2").agg(F.min("a").alias("x"), F.max("b").alias("y")).filter("x <> y").select("e1", "e2")
-        split = spans.join(shared, ["e1", "e2"]).select("e1", "e2", "c1", "c2", "off", F.lit(span).alias("len"))
+        copies = self.texts.filter("rep <> last").select("h1", "h2", "n_chars", "rep")
+        skipped = self.signatures.select("part", "doc", "h1", "h2", "n_chars").join(copies, ["h1", "h2", "n_chars"]).filter("doc <> rep").select("part", "doc", "h1")
+        none = F.lit(None).cast("long")
+        shards = self.confirmed().select("part", "phrase", none.alias("doc"), none.alias("h1")).unionByName(skipped.select("part", F.lit(None).cast("string").alias("phrase"), "doc", "h1"))
+        self.shards = written(shards.repartition("part"), "part")
+        return cut(self.docs.select("part", "doc", "text").mapInPandas(_locate(self.min_chars, self.shards.path), _OCCURRENCE))
+
+    def cells(self, extremes: bool = False) -> DataFrame:
+        """(e1, e2, c1, c2, off, len): sets of classes that share one span, and where it lies relative to the phrase.
+
+        A span around a phrase is named by its lead, the characters before the phrase.  Two classes share a span of some
+        lead exactly if they share that of all leads in an interval, so those on a grid are tested first.  Between two
+        grid points, the part that all spans there have in common tells which classes may share one; where the grid has
+        not settled it for all of them, every lead is tested.  It is settled if all have one of the two grid points'
+        spans in common, or, if the extremes of what is shared are wanted, both.
+        """
+        n, reach = self.min_chars, self.reach
+        grid = sorted({*range(0, reach, max(1, reach // INTERVALS)), reach})
+        fits = lambda lead, length: (F.col("lead") >= lead) & (F.col("width") - F.col("lead") + lead >= length)
+        piece = lambda lead, length: F.substr("around", F.col("lead") - lead + 1, F.lit(length) if isinstance(length, int) else length)
+        e1, e2 = lambda text: F.xxhash64(text), lambda text: F.xxhash64(F.lit(7), text)
+        own = ["c1", "c2", "a", "b"]
+        window = {g: F.when(fits(g, n), e1(piece(g, n))) for g in grid}
+        inner = [(g, h, n - (h - g)) for g, h in zip(grid, grid[1:])]
+        keyed = self.classes.select(
+            *own, "lead", "width", "around",
+            F.explode(F.array(*(F.when(fits(g, m), F.struct(F.lit(g).alias("g"), F.lit(h).alias("h"), e1(piece(g, m)).alias("k"), window[g].alias("low"), window[h].alias("high"))) for g, h, m in inner if h - g > 1))).alias("x"),
+        ).filter("x is not null").select(*own, "lead", "width", "around", "x.*")
+        one = lambda c: (F.count(c) == F.count(F.lit(1))) & (F.min(c) == F.max(c))
+        settled = one("low") & one("high") if extremes else one("low") | one("high")
+        grouped = keyed.groupBy("g", "k").agg((F.min("a") != F.max("b")).alias("shared"), F.coalesce(settled, F.lit(False)).alias("settled"))
+        unsettled = cut(grouped.filter("shared and not settled").select("g", "k"))
+        spans = lambda rows, leads: rows.select(*own, "lead", "width", "around", F.explode(leads).alias("at")).filter(
+            (F.col("lead") >= F.col("at")) & (F.col("width") - F.col("lead") + F.col("at") >= n)
+        ).select(*own, "at", e1(piece(F.col("at"), n)).alias("e1"), e2(piece(F.col("at"), n)).alias("e2"))
+        between = keyed.join(broadcast_if_small(unsettled), ["g", "k"], "left_semi")
+        tested = cut(spans(self.classes, F.array(*map(F.lit, grid))).unionByName(spans(between, F.sequence(F.col("g") + 1, F.col("h") - 1))))
+        shared = tested.groupBy("at", "e1", "e2").agg(F.min("a").alias("x"), F.max("b").alias("y"), F.sum(F.xxhash64("c1", "c2").bitwiseAND(F.lit((1 << 40) - 1))).alias("sig"), F.count(F.lit(1)).alias("n"))
+        rows = tested.join(shared.filter("x <> y").drop("x", "y"), ["at", "e1", "e2"])
+        # spans of two leads that the same classes have, and all between them, are one longer span
+        w = Window.partitionBy("c1", "c2").orderBy("at")
+        follows = (F.lag("sig").over(w) == F.col("sig")) & (F.lag("n").over(w) == F.col("n"))
+        runs = rows.withColumn("run", F.sum(F.when(follows, 0).otherwise(1)).over(w)).groupBy("c1", "c2", "run").agg(
+            F.min("at").alias("low"), F.max("at").alias("high"), F.min_by("e1", "at").alias("e1"), F.min_by("e2", "at").alias("e2")
+        )
+        found = runs.select("e1", "e2", "c1", "c2", (-F.col("high")).alias("off"), (F.col("high") - F.col("low") + n).alias("len"))
         # and a class in itself, if two documents have it
-        same = classes.filter((F.col("a") != F.col("b")) & (F.col("width") >= span)).select(
+        same = self.classes.filter((F.col("a") != F.col("b")) & (F.col("width") >= n)).select(
             F.col("c1").alias("e1"), F.col("c2").alias("e2"), "c1", "c2", (-F.col("lead")).alias("off"), F.col("width").alias("len")
         )
-        self.cells = cut(edges.unionByName(split).unionByName(same))
+        return cut(found.unionByName(same))
 
-    def spans(self) -> DataFrame:
+    def spans(self, extremes: bool = True) -> DataFrame:
         """(doc, cell1, cell2, start, length): where a document has a span that the other documents of the cell have too."""
         places = self.occurrences.select("doc", "c1", "c2", "place")
-        return self.cells.join(places, ["c1", "c2"]).select(
+        return self.cells(extremes).join(places, ["c1", "c2"]).select(
             "doc", F.col("e1").alias("cell1"), F.col("e2").alias("cell2"), (F.col("place") + F.col("off")).alias("start"), F.col("len").alias("length")
         )
 
+    def class_pairs(self) -> DataFrame:
+        """(class_a, class_b), class_a < class_b: pairs of texts with a common span, each named by its lowest document."""
+        held = cut(self.spans(False).select("cell1", "cell2", "doc").distinct())
+        a, b = held.withColumnRenamed("doc", "class_a"), held.withColumnRenamed("doc", "class_b")
+        return a.join(b, ["cell1", "cell2"]).filter("class_a < class_b").select("class_a", "class_b").distinct()
+
+    def membership(self) -> DataFrame:
+        """(doc_id, class_id) of every document with an id and a text: the lowest document of the same text."""
+        texts = self.given.filter("doc is not null and text is not null").select(
+            F.col("doc").alias("doc_id"), F.xxhash64("text").alias("d1"), F.xxhash64(F.lit(7), "text").alias("d2"), F.length("text").alias("n")
+        )
+        lowest = texts.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("class_id"))
+        return texts.join(lowest, ["d1", "d2", "n"]).select("doc_id", "class_id").distinct()
+
     def pairs(self) -> DataFrame:
         """(doc_a, doc_b), doc_a < doc_b: all pairs of documents with a common span, copies expanded."""
-        held = self.spans().select("cell1", "cell2", "doc").distinct()
-        a, b = held.withColumnRenamed("doc", "doc_a"), held.withColumnRenamed("doc", "doc_b")
-        pairs = a.join(b, ["cell1", "cell2"]).filter("doc_a < doc_b").select("doc_a", "doc_b").distinct()
+        pairs = self.class_pairs().select(F.col("class_a").alias("doc_a"), F.col("class_b").alias("doc_b"))
         members = cut(self.members())
         for side in ("doc_a", "doc_b"):
             copies = members.select(F.col("rep").alias(side), F.col("doc").alias("copy"))
@@ -269,68 +352,25 @@ class SharedSpans:
         within = x.join(y, "rep").filter("doc_a < doc_b").select("doc_a", "doc_b")
         return pairs.select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b")).unionByName(within).filter("doc_a < doc_b").distinct()
 
-    def coverage(self) -> DataFrame:
-        """(doc_id, n_chars, shared_chars) of every document of at least min_chars: characters in spans that occur elsewhere too."""
-        from pyspark.sql import Window
-
-        w = Window.partitionBy("doc").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-        merged = (
-            self.spans().select("doc", "start", (F.col("start") + F.col("length")).alias("end")).distinct()
-            .withColumn("reached", F.coalesce(F.max("end").over(w), F.lit(0)))
-            .groupBy("doc").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", "reached"))).alias("shared"))
-        )
-        copies = self.texts.select("h1", "h2", "n_chars", "rep", (F.col("rep") != F.col("last")).alias("copied"))
-        return (
-            self.signatures.select("doc", "h1", "h2", "n_chars").join(copies, ["h1", "h2", "n_chars"])
-            .join(merged.withColumnRenamed("doc", "rep"), "rep", "left")
-            .select(F.col("doc").alias("doc_id"), "n_chars", F.when(F.col("copied"), F.col("n_chars")).otherwise(F.coalesce("shared", F.lit(0))).cast("long").alias("shared_chars"))
-        )
-
-
-def _common(a: str, b: str) -> int:
-    """Length of the common beginning, by bisection over slices."""
-    low, high = 0, min(len(a), len(b))
-    while low < high:
-        mid = (low + high + 1) // 2
-        if a[low:mid] == b[low:mid]:
-            low = mid
-        else:
-            high = mid - 1
-    return low
-
-
-def _compare(span: int):  # noqa: ANN202
-    """Pairs within groups of rows that lie side by side; a group has at most PAIRED rows, and no batch ends it."""
-
-    def pairs(rows: list[tuple]) -> list[tuple]:
-        out = []
-        for i, (_, a1, a2, a, la, first_a, last_a) in enumerate(rows):
-            for _, b1, b2, b, lb, first_b, last_b in rows[i + 1 :]:
-                if min(first_a, first_b) == max(last_a, last_b):
-                    continue  # both are of one document
-                right = _common(a[la:], b[lb:])
-                left = _common(a[:la][::-1], b[:lb][::-1])
-                if left + right >= span:
-                    # the cell's name: both classes, in an order that doesn't depend on the rows'
-                    e1, e2 = min((a1, a2), (b1, b2))[0], max((a1, a2), (b1, b2))[0]
-                    out += [(e1, e2, x, y, -left, left + right) for x, y in ((a1, a2), (b1, b2))]
-        return out
-
-    def frame(found: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(found, columns=["e1", "e2", "c1", "c2", "off", "len"])
+    def stretches(self) -> DataFrame:
+        """(doc_id, start, length): the maximal stretches of each document that lie in spans other documents have too."""
+        w = Window.partitionBy("doc").orderBy("start", "end")
+        placed = self.spans().select("doc", "start", (F.col("start") + F.col("length")).alias("end")).distinct()
+        reached = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        begun = placed.withColumn("fresh", F.when(F.col("start") <= reached, 0).otherwise(1)).withColumn("k", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        merged = begun.groupBy("doc", "k").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+        copied = cut(self.members())
+        whole = self.signatures.select("doc", "n_chars").join(copied, "doc").groupBy("doc").agg(F.max("n_chars").alias("n_chars"))
+        parts = merged.join(copied.select("doc"), "doc", "left_anti")
+        return parts.select(F.col("doc").alias("doc_id"), "start", (F.col("end") - F.col("start")).alias("length")).unionByName(
+            whole.select(F.col("doc").alias("doc_id"), F.lit(0).alias("start"), F.col("n_chars").alias("length"))
+        )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group: list[tuple] = []
-        for pdf in batches:
-            found: list[tuple] = []
-            for side, g, *row in pdf[["side", "g", "c1", "c2", "around", "lead", "a", "b"]].itertuples(index=False, name=None):
-                if group and group[0][0] != (side, g):
-                    found += pairs(group)
-                    group = []
-                group.append(((side, g), *row))
-            if found:
-                yield frame(found)
-        if group and (found := pairs(group)):
-            yield frame(found)
+    def coverage(self) -> DataFrame:
+        """(doc_id, n_chars, shared_chars) of every document: its characters, and those in spans that occur elsewhere too.
 
-    return run
+        A null text has none.  Documents shorter than a span share nothing.
+        """
+        shared = self.stretches().groupBy("doc_id").agg(F.sum("length").alias("shared"))
+        all_docs = self.given.filter("doc is not null").groupBy(F.col("doc").alias("doc_id")).agg(F.max(F.coalesce(F.length("text"), F.lit(0))).alias("n_chars"))
+        return all_docs.join(shared, "doc_id", "left").select("doc_id", "n_chars", F.coalesce("shared", F.lit(0)).cast("long").alias("shared_chars"))

@@ -223,42 +223,99 @@ def noise(rng, n):
     return "".join(rng.choice("abcdefgh \n") for _ in range(n))
 
 
-@pytest.mark.parametrize("paired", [2, 40])
-def test_spans(spark, monkeypatch, paired):
-    monkeypatch.setattr(spans, "PAIRED", paired)
+def span_texts():
     rng = random.Random(3)
     stock = [noise(rng, 900) for _ in range(6)]
     docs = []
-    for d in range(70):
+    for d in range(50):
         s = rng.choice(stock)
         a, n = rng.randrange(150), rng.choice([150, 299, 300, 301, 420, 500])
         docs.append((d, noise(rng, rng.randrange(300)) + s[a : a + n] + noise(rng, rng.randrange(300))))
-    docs += [(200 + k, docs[0][1]) for k in range(3)] + [(300, ""), (301, None), (None, stock[0]), (302, "é" * 299 + stock[1][:300]), (303, "z" * 2000), (304, "z" * 700), (305, "zy" * 400), (306, "yz" * 500)]
+    docs += [(200 + k, docs[0][1]) for k in range(3)] + [(300, ""), (301, None), (None, stock[0]), (302, "é" * 299 + stock[1][:300]), (303, "z" * 500), (304, "z" * 400), (305, "zy" * 200), (306, "yz" * 220)]
     docs.append((200, docs[0][1]))
+    return docs, [(d, t) for d, t in docs if d is not None and t]
+
+
+def shared_spans(spark, docs):
     df = spark.createDataFrame(docs, "k long, t string").withColumn("doc", F.lit("clash")).withColumn("text", F.lit("clash")).repartition(3)
-    known = [(d, t) for d, t in docs if d is not None and t]
+    return spans.SharedSpans(df, F.col("k"), F.col("t"))
+
+
+@pytest.mark.parametrize("intervals,rows", [(8, 1024), (3, 8)])
+def test_spans(spark, monkeypatch, intervals, rows):
+    monkeypatch.setattr(spans, "INTERVALS", intervals)
+    monkeypatch.setattr(spans, "PART_ROWS", rows)
+    docs, known = span_texts()
     want = brute_pairs(known)
-    found = spans.SharedSpans(df, F.col("k"), F.col("t"))
+    found = shared_spans(spark, docs)
     assert {tuple(r) for r in found.pairs().collect()} == want and len(want) > 50
     text = dict(known)
-    cover = {r.doc_id: r.shared_chars for r in found.coverage().collect()}
+    cover = {r.doc_id: (r.n_chars, r.shared_chars) for r in found.coverage().collect()}
+    stretches = defaultdict(list)
+    for r in found.stretches().collect():
+        stretches[r.doc_id].append((r.start, r.start + r.length))
     grams = defaultdict(set)
     for d, t in known:
         for i in range(len(t) - 299):
             grams[t[i : i + 300]].add(d)
+    assert cover.keys() == {d for d, _ in docs if d is not None}
     for d, t in text.items():
-        if len(t) >= 300:
-            marked = set()
-            for i in range(len(t) - 299):
-                if len(grams[t[i : i + 300]]) > 1:
-                    marked.update(range(i, i + 300))
-            assert cover[d] == len(marked), d
+        marked = set()
+        for i in range(len(t) - 299):
+            if len(grams[t[i : i + 300]]) > 1:
+                marked.update(range(i, i + 300))
+        assert cover[d] == (len(t), len(marked)), d
+        assert sorted(stretches[d]) == [(a, b) for a, b in zip(sorted(x for x in marked if x - 1 not in marked), sorted(x + 1 for x in marked if x + 1 not in marked))], d
+    assert cover[301] == (0, 0)
+    # classes: one row per document, and pairs between the documents that stand for them
+    class_of = {r.doc_id: r.class_id for r in found.membership().collect()}
+    assert class_of == {d: min(x for x, y in known + [(300, "")] if y == t) for d, t in known + [(300, "")]}
+    pairs = {tuple(r) for r in found.class_pairs().collect()}
+    assert pairs == {(class_of[a], class_of[b]) for a, b in want if class_of[a] < class_of[b]} | {(class_of[b], class_of[a]) for a, b in want if class_of[b] < class_of[a]}
+
+
+def test_phrases_are_confirmed_and_located_by_the_automata(spark, monkeypatch):
+    docs, known = span_texts()
+    want = brute_pairs(known)
+    whole = spans.pick
+
+    def colliding(texts, phrase=spans.PHRASE, min_chars=300):  # a hash that tells next to nothing
+        return [(h & 3, p) for h, p in whole(texts, phrase, min_chars)]
+
+    monkeypatch.setattr(spans, "pick", colliding)
+    found = shared_spans(spark, docs)
+    assert {tuple(r) for r in found.pairs().collect()} == want
+    picked = sum(len(h) for h, _ in whole([t for _, t in known]))
+    phrases = {r.phrase for r in found.confirmed().collect()}
+    assert 0 < len(phrases) < picked / 2  # all hashes recur, few phrases do
+    held = defaultdict(set)
+    for d, t in {t: d for d, t in known}.items():
+        for p in phrases:
+            if p in d:
+                held[p].add(t)
+    assert all(len(held[p]) > 1 for p in phrases)
+    # occurrences are found where a phrase was picked, and elsewhere too
+    at = {(r.doc, r.place) for r in found.occurrences.select("doc", "place").collect()}
+    first = {t: d for d, t in sorted(known, reverse=True) if len(t) >= 300}
+    everywhere = {(d, i) for t, d in first.items() for i in range(len(t) - spans.PHRASE + 1) if t[i : i + spans.PHRASE] in phrases}
+    picks = {(d, int(i)) for (t, d), (_, places) in zip(first.items(), whole(list(first))) for i in places if t[i : i + spans.PHRASE] in phrases}
+    assert picks <= at <= everywhere and len(at) > 2 * len(picks)
+
+
+def test_nothing_is_found_without_the_automata(spark, monkeypatch):
+    monkeypatch.setattr(spans, "AUTOMATON", 10**9)
+    docs, known = span_texts()
+    locate = spans._locate
+    monkeypatch.setattr(spans, "_locate", lambda n, path: lambda batches: (x.iloc[:0] for x in locate(n, path)(batches)))
+    copies = {(a, b) for a, b in brute_pairs(known) if dict(known)[a] == dict(known)[b]}
+    assert {tuple(r) for r in shared_spans(spark, docs).pairs().collect()} == copies  # exact copies alone need none
 
 
 def test_spans_of_nothing(spark):
     df = spark.createDataFrame([(1, "short"), (2, None)], "k long, t string")
     found = spans.SharedSpans(df, F.col("k"), F.col("t"))
-    assert found.pairs().count() == 0 and found.coverage().count() == 0
+    assert found.pairs().count() == 0 and found.stretches().count() == 0
+    assert {tuple(r) for r in found.coverage().collect()} == {(1, 5, 0), (2, 0, 0)}
 
 
 def test_long_texts_are_hashed_in_overlapping_parts(monkeypatch):
@@ -279,7 +336,7 @@ def test_queries_equal_their_sql(spark):
 
     d = "/root/testdata/sf0.001"
     c = duckdb.connect()
-    for t in ("log_lines", "template_records", "templates"):
+    for t in ("log_lines", "template_records", "templates", "documents", "eval_items"):
         c.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
     for name, sql in queries.oracle_sql().items():
         df = queries.queries()[name](spark, d)
