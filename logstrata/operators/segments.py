@@ -8,12 +8,13 @@ from zlib import crc32
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from logstrata.functions.scalars import level_bit
 
-#: Bits of a trigram map; a map is stored as the array of its set bits.
-TRIGRAM_BITS = 1 << 16
+#: Bits of a trigram map, which is stored as a bitmap.
+TRIGRAM_BITS = 1 << 15
+#: Every three characters, also those that overlap.
+_PIECES = "(?s)(?=(...))"
 
 
 def chunk_column(chunk_size: int, seq_in_segment: str = "seq_in_segment") -> Column:
@@ -25,38 +26,45 @@ def trigram_bits(text: str) -> set[int]:
     return {crc32(x.encode("utf-8", "surrogatepass")) % TRIGRAM_BITS for x in {text[i : i + 3] for i in range(len(text) - 2)}}
 
 
+def row_bytes() -> Column:
+    """Bytes of a row as a line of compact JSON."""
+    return F.octet_length(F.to_json(F.struct("t", "s", "l", "m"))) + 1
+
+
 def summaries(logs: DataFrame, by: tuple[str, ...] = ("segment_id",)) -> DataFrame:
     """One row per segment (or chunk): true min_ts and max_ts, line_count, level_mask, raw_bytes."""
-    size = F.octet_length(F.to_json(F.struct("t", "s", "l", "m"))) + 1
     return logs.groupBy(*by).agg(
         F.min("t").alias("min_ts"), F.max("t").alias("max_ts"), F.count(F.lit(1)).alias("line_count"),
-        F.bit_or(level_bit(F.col("l"))).cast("int").alias("level_mask"), F.sum(size).alias("raw_bytes"),
+        F.bit_or(level_bit(F.col("l"))).cast("int").alias("level_mask"), F.sum(row_bytes()).alias("raw_bytes"),
     )
 
 
 def trigram_index(logs: DataFrame, by: tuple[str, ...] = ("segment_id",)) -> DataFrame:
-    """(by..., trigrams): set bits of the trigrams of service, level and message, field by field.
+    """(by..., trigrams): a bitmap of the trigrams of service, level and message, field by field, for rows that have any.
 
-    A batch gives each of its segments' bits once, so at most TRIGRAM_BITS rows of a segment leave a batch, and at most
-    as many are kept of it however long it is.
+    A task gives each bit of a key once, so at most TRIGRAM_BITS rows of a key leave it; the bitmaps then combine by OR.
     """
+    text = F.concat_ws("\0", "s", "l", "m")  # no keyword holds the mark between fields
+    pieces = logs.select(*by, F.explode(F.regexp_extract_all(text, F.lit(_PIECES), F.lit(1))).alias("piece"))
+    bits = pieces.select(*by, (F.crc32(F.col("piece")) % TRIGRAM_BITS).alias("bit")).distinct()
+    return bits.groupBy(*by).agg(F.bitmap_construct_agg("bit").alias("trigrams"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for key, rows in pdf.groupby(list(by), dropna=False, sort=False):
-                pieces = {t[i : i + 3] for c in ("s", "l", "m") for t in rows[c] if t is not None for i in range(len(t) - 2)}
-                bits = sorted({crc32(x.encode("utf-8", "surrogatepass")) % TRIGRAM_BITS for x in pieces})
-                yield pd.DataFrame({**dict(zip(by, key)), "bit": bits}).astype({"bit": "int32"})
 
-    found = logs.select(*by, "s", "l", "m").mapInPandas(run, logs.select(*by).schema.add("bit", IntegerType()))
-    return found.distinct().groupBy(*by).agg(F.sort_array(F.collect_list("bit")).alias("trigrams"))
+def merged(chunks: DataFrame, by: tuple[str, ...] = ("segment_id",)) -> DataFrame:
+    """Summaries and trigrams of segments from those of their chunks."""
+    return chunks.groupBy(*by).agg(
+        F.min("min_ts").alias("min_ts"), F.max("max_ts").alias("max_ts"), F.sum("line_count").alias("line_count"),
+        F.bit_or("level_mask").alias("level_mask"), F.sum("raw_bytes").alias("raw_bytes"), F.bitmap_or_agg("trigrams").alias("trigrams"),
+    )
 
 
 def keyword_possible(keyword: str) -> Column:
-    """Whether a segment's trigrams allow the keyword; keywords of less than three characters always may occur."""
-    if len(keyword) < 3:
-        return F.lit(True)
-    return F.size(F.array_except(F.array(*(F.lit(b) for b in sorted(trigram_bits(keyword)))), "trigrams")) == 0
+    """Whether trigrams allow the keyword; null trigrams are unknown and keywords of less than three characters may always occur."""
+    out = F.lit(True)
+    for bit in sorted(trigram_bits(keyword)):
+        byte = F.conv(F.hex(F.substring("trigrams", bit // 8 + 1, 1)), 16, 10).cast("int")
+        out = out & (byte.bitwiseAND(1 << bit % 8) != 0)
+    return F.lit(True) if len(keyword) < 3 else F.col("trigrams").isNull() | out
 
 
 def dual_threshold(logs: DataFrame, max_lines: int, max_bytes: int, order: str = "seq") -> DataFrame:
@@ -66,7 +74,7 @@ def dual_threshold(logs: DataFrame, max_lines: int, max_bytes: int, order: str =
     a table without that column is one stream.
     """
     keyed = logs if "stream" in logs.columns else logs.withColumn("stream", F.lit(0))
-    sized = keyed.withColumn("nbytes", F.octet_length(F.to_json(F.struct("t", "s", "l", "m"))) + 1)
+    sized = keyed.withColumn("nbytes", row_bytes())
     schema = sized.drop("nbytes").schema.add("flush", "long")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

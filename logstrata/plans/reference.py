@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,10 +13,11 @@ from logstrata.functions.tokens import param_type, tokenize, type_sequence
 from logstrata.operators import manifest, segments, templates
 from logstrata.operators.search import has_keyword, in_range, level_matches, overlaps, search
 from logstrata.plans.logs import LOGS_SQL, event_logs
-from logstrata.session import cut, table
+from logstrata.session import cut, shared_folder, table
 from logstrata.sources.generate import generate_lines
 from logstrata.sources.parse import infer_level, parse_lines
 from logstrata.sources.wal import parse_wal
+from logstrata.store import LogStore, StoreConfig, numbered
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -220,6 +222,60 @@ def may_exist_levels(spark, d):  # noqa: ANN001, ANN201
     return segs.agg(*bits).unpivot([], ["WARN", "W", "ERROR", "DEBUG"], "keyword", "may_exist")
 
 
+class _Dying(LogStore):
+    """A writer that dies at one step of a write."""
+
+    class Killed(Exception):
+        pass
+
+    def __init__(self, spark: SparkSession, path: str, config: StoreConfig, step: str) -> None:
+        super().__init__(spark, path, config)
+        self.step = step
+
+    def _die(self, step: str) -> None:
+        if step == self.step:
+            raise self.Killed(step)
+
+    def _log(self, rows, batch):  # noqa: ANN001, ANN202
+        self._die("claimed")
+        size = super()._log(rows, batch)
+        self._die("logged")
+        return size
+
+    def _register(self, *args, **more):  # noqa: ANN002, ANN003, ANN202
+        self._die("written")
+        super()._register(*args, **more)
+
+    def _clean(self) -> None:
+        self._die("registered")
+        super()._clean()
+
+
+@query("select event_id idx, epoch_us(ts) // 1000 t, 'svc-' || (user_id % 8) s, case event_type when 'error' then 'E' when 'signup' then 'W' when 'view' then 'D' else 'I' end l, 'User ' || user_id || ' did ' || event_type || ' props ' || props m from events")
+def recovered_store(spark, d):  # noqa: ANN001, ANN201
+    """All events, appended in ten batches by writers that die at each step of a write in turn and are replayed: each row once, in order."""
+    logs = cut(event_logs(spark, d).select("seq", "t", "s", "l", "m"))
+    n, batches = logs.count(), 10
+    path = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    config = StoreConfig(max_buffer_lines=max(1, n // 4))
+    for k in range(batches):
+        low, high = n * k // batches, n * (k + 1) // batches
+        rows = logs.filter((F.col("seq") >= low) & (F.col("seq") < high)).orderBy("seq").drop("seq")
+        step = ("claimed", "logged", "written", "registered")[k % 4]
+        try:
+            dying = _Dying(spark, path, config, step)
+            dying.append_batch(rows, f"batch-{k}")
+            if k > 4:
+                dying.flush()
+        except _Dying.Killed:
+            pass
+        LogStore(spark, path, config).append_batch(rows, f"batch-{k}")
+    store = LogStore(spark, path, config)
+    stored = store.rows().select(F.lit(0).alias("w"), "segment_id", "seq", "t", "s", "l", "m")
+    waiting = store.buffered().select(F.lit(1).alias("w"), F.col("b").alias("segment_id"), F.col("i").alias("seq"), "t", "s", "l", "m")
+    return numbered(stored.unionByName(waiting), ["w", "segment_id", "seq"]).select("idx", "t", "s", "l", "m")
+
+
 # Parsing.
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "raw_lines").select("raw_id", "ts", "service", "message")
