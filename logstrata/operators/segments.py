@@ -21,6 +21,25 @@ def chunk_column(chunk_size: int, seq_in_segment: str = "seq_in_segment") -> Col
     return F.floor(F.col(seq_in_segment) / chunk_size).cast("int")
 
 
+def chunked(logs: DataFrame, chunk_size: int, single_lines: int, single_bytes: int, seq_in_segment: str = "seq_in_segment") -> DataFrame:
+    """Add `chunk`: a segment of at most single_lines rows and single_bytes bytes of messages is one chunk, others are cut.
+
+    The size of a segment is one number per input partition in the shuffle; the rows themselves stay where they are.
+    """
+    size = logs.groupBy("segment_id").agg(((F.count(F.lit(1)) <= single_lines) & (F.coalesce(F.sum(F.octet_length("m")), F.lit(0)) <= single_bytes)).alias("single"))
+    return logs.join(size, "segment_id").withColumn("chunk", F.when(F.col("single"), 0).otherwise(chunk_column(chunk_size, seq_in_segment))).drop("single")
+
+
+def pattern_ids(records: DataFrame, by: tuple[str, ...] = ("segment_id",)) -> DataFrame:
+    """(by..., pattern_ids): the templates whose records a segment or chunk holds, ascending."""
+    return records.select(*by, "pat_id").filter("pat_id is not null").distinct().groupBy(*by).agg(F.sort_array(F.collect_list("pat_id")).alias("pattern_ids"))
+
+
+def may_contain_pattern(pat_id: int) -> Column:
+    """Whether a segment or chunk can hold records of a template; without a list it can."""
+    return F.col("pattern_ids").isNull() | F.array_contains("pattern_ids", pat_id)
+
+
 def trigram_bits(text: str) -> set[int]:
     """The bits of all three-character pieces of a text."""
     return {crc32(x.encode("utf-8", "surrogatepass")) % TRIGRAM_BITS for x in {text[i : i + 3] for i in range(len(text) - 2)}}

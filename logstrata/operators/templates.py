@@ -98,18 +98,33 @@ def rebuild(records: DataFrame, templates: DataFrame) -> DataFrame:
 
 
 def quality(templates: DataFrame) -> DataFrame:
-    """Per segment: templates, templates of one row, the most rows of one, templates without literals, mean parameters."""
-    params = F.size(F.filter("parts", lambda p: p["is_param"]))
-    return templates.groupBy("segment_id").agg(
+    """Per segment: templates, those of one row, the most rows of one, those without literals; mean and median parameters.
+
+    Of an even number of templates the median is the upper of the two in the middle.
+    """
+    sized = templates.select("segment_id", "row_count", F.size(F.filter("parts", lambda p: p["is_param"])).alias("params"), F.size("parts").alias("n"))
+    counts = F.sort_array(F.collect_list("params"))
+    return sized.groupBy("segment_id").agg(
         F.count(F.lit(1)).alias("n_templates"), F.count_if(F.col("row_count") == 1).alias("n_single"), F.max("row_count").alias("most_rows"),
-        F.count_if(params == F.size("parts")).alias("n_all_param"), F.sum(params).alias("n_params"),
+        F.count_if(F.col("params") == F.col("n")).alias("n_all_param"), F.avg("params").alias("mean_params"),
+        F.get(counts, F.floor(F.size(counts) / 2).cast("int")).alias("median_params"),
     )
 
 
-def keyword_map(templates: DataFrame) -> DataFrame:
-    """(segment_id, keyword, pat_id): lower-case words of at least three bytes in the literals of each template."""
+def keyword_map(templates: DataFrame, by: tuple[str, ...] = ("segment_id",)) -> DataFrame:
+    """(by..., keyword, pat_id): lower-case words of at least three bytes in the literals of each template."""
     words = F.explode(F.flatten(F.transform(F.filter("parts", lambda p: ~p["is_param"]), lambda p: F.split(F.lower(p["text"]), r"\s+"))))
-    return templates.select("segment_id", words.alias("keyword"), "pat_id").filter(F.octet_length("keyword") >= 3).distinct()
+    return templates.select(*by, words.alias("keyword"), "pat_id").filter(F.octet_length("keyword") >= 3).distinct()
+
+
+def segments_of_keyword(keyword: str, words: DataFrame, records: DataFrame) -> DataFrame:
+    """(segment_id, n_records): segments that hold records of a template one of whose literal words is the keyword.
+
+    words is the keyword map of templates common to all segments.  Their ids reach the scan of the records by a
+    semi-join; no message is read.
+    """
+    ids = words.filter(F.col("keyword") == keyword.lower()).select("pat_id").distinct()
+    return records.join(ids, "pat_id", "left_semi").groupBy("segment_id").agg(F.count(F.lit(1)).alias("n_records"))
 
 
 def literal_contains(keyword: str) -> Column:

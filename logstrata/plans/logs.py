@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +19,17 @@ LOGS_SQL = f"""logs as (
   from events)"""
 
 
-def event_logs(spark: SparkSession, d: str) -> DataFrame:
-    """(segment_id, chunk_id, seq, t, s, l, m) of every event."""
+def event_logs(spark: SparkSession, d: str, start: int | None = None, end: int | None = None) -> DataFrame:
+    """(segment_id, chunk_id, seq, t, s, l, m) of the events, or of those with start <= t <= end.
+
+    The range is put on the stored column, so that it reaches the scan.
+    """
     e = table(spark, d, "events")
+    at = lambda ms: F.lit((datetime(1970, 1, 1) + timedelta(milliseconds=ms)).isoformat(" ")).cast("timestamp_ntz")
+    if start is not None:
+        e = e.filter(F.col("ts") >= at(start))
+    if end is not None:
+        e = e.filter(F.col("ts") < at(end + 1))
     kind = F.col("event_type")
     return e.select(
         (F.floor(F.col("event_id") / SEGMENT_LINES) + 1).alias("segment_id"),

@@ -51,7 +51,7 @@ def scan_loglines(spark, d):  # noqa: ANN001, ANN201
 
 @query(f"{_ROWS} where t between {START} and {END}")
 def time_range(spark, d):  # noqa: ANN001, ANN201
-    return event_logs(spark, d).filter(in_range(START, END)).select(ROW)
+    return event_logs(spark, d, START, END).select(ROW)
 
 
 def _keyword(name: str, keyword: str, fields: tuple[str, ...]) -> None:
@@ -76,8 +76,9 @@ _keyword("empty_keyword", "", ("s", "l", "m"))
   select *, row_number() over (order by mx desc, segment_id, seq) rn from (select *, max(t) over (partition by segment_id) mx from logs)
   where t between {START} and {END} and (contains(s, 'error') or contains(l, 'error') or contains(m, 'error'))) where rn <= 50""")
 def limit_scan_order(spark, d):  # noqa: ANN001, ANN201
-    logs = event_logs(spark, d)
-    return search(logs, START, END, "error", 50).select(ROW)
+    # the newest time of each segment comes from two columns of all rows, the rows themselves only from the range
+    manifest_rows = segments.summaries(event_logs(spark, d)).select("segment_id", "max_ts")
+    return search(event_logs(spark, d, START, END), START, END, "error", 50, segments=manifest_rows).select(ROW)
 
 
 @query(f"{_ROWS} where contains(m, 'click') order by t desc, segment_id, seq limit 100")
@@ -285,9 +286,10 @@ _TRIM = r"regexp_replace(message, '^\s+|\s+$', '', 'g')"
 _INFER = "case when regexp_matches({m}, 'ERROR|Error|error') then 'E' when regexp_matches({m}, 'WARN|Warn|warn') then 'W' when regexp_matches({m}, 'DEBUG|Debug') then 'D' else 'I' end"
 _PARSE = f"""with x as (select raw_id, ts, service, {_TRIM} line from raw_lines where {_TRIM} <> ''),
 j as (select *, case when line[1] = '{{' and line[-1] = '}}' and json_valid(line) then line end js from x),
-p as (select *, js->>'$.t' t0, js->>'$.s' s0, js->>'$.l' l0, js->>'$.m' m0, js->>'$.timestamp' t1, js->>'$.ts' t2, js->>'$.service' s1, js->>'$.level' l1, js->>'$.message' m1 from j),
-r as (select *, case when t0 is not null and s0 is not null and l0 is not null and m0 is not null then 'compact'
-  when s0 is not null or l0 is not null or m0 is not null or s1 is not null or l1 is not null or m1 is not null or try_cast(t1 as bigint) is not null or try_cast(t2 as bigint) is not null then 'standard'
+k as (select *, [json_type(js, '$.' || f) for f in ['t', 'ts', 'timestamp']] nums, [json_type(js, '$.' || f) for f in ['s', 'l', 'm']] short, [json_type(js, '$.' || f) for f in ['service', 'level', 'message']] long from j),
+p as (select *, js->>'$.t' t0, js->>'$.s' s0, js->>'$.l' l0, js->>'$.m' m0, js->>'$.timestamp' t1, js->>'$.ts' t2, js->>'$.service' s1, js->>'$.level' l1, js->>'$.message' m1 from k),
+r as (select *, case when nums[1] = 'UBIGINT' and short = ['VARCHAR', 'VARCHAR', 'VARCHAR'] then 'compact'
+  when js is not null and len(list_filter(nums[2:3], lambda y: y not in ('UBIGINT', 'NULL'))) = 0 and len(list_filter(short || long, lambda y: y not in ('VARCHAR', 'NULL'))) = 0 then 'standard'
   when contains(line, 'HTTP/') then 'nginx' else 'fallback' end as rule from p)
 select raw_id, rule,
   case rule when 'compact' then try_cast(t0 as bigint) when 'standard' then coalesce(try_cast(t2 as bigint), try_cast(t1 as bigint), ts) else ts end t,
@@ -415,10 +417,12 @@ def template_rebuild(spark, d):  # noqa: ANN001, ANN201
     return templates.rebuild(records, found)
 
 
-@query(_MINED + "select segment_id, count(*) n_templates, count(*) filter (row_count = 1) n_single, max(row_count) most_rows from tpl group by 1")
+@query(_MINED + """, q as (select *, (length(signature) - length(replace(signature, '<*>', ''))) // 3 params from tpl)
+  select segment_id, count(*) n_templates, count(*) filter (row_count = 1) n_single, max(row_count) most_rows,
+    count(*) filter (replace(signature, '<*>', '') = '') n_all_param, avg(params) mean_params, cast(list_sort(list(params))[1 + count(*) // 2] as int) median_params from q group by 1""")
 def template_quality(spark, d):  # noqa: ANN001, ANN201
     found, _ = templates.mine(event_logs(spark, d))
-    return templates.quality(found).select("segment_id", "n_templates", "n_single", "most_rows")
+    return templates.quality(found)
 
 
 @query(_MINED + "select segment_id, count(*) n_patterns from tpl group by 1")
@@ -460,22 +464,47 @@ def count_at_least(spark, d):  # noqa: ANN001, ANN201
     return _answers(lambda k: manifest.count_at_least(segs, found, START, END, k), "at_least")
 
 
-@query(f"""with x as (select segment_id, original_idx, any_value(ts_delta) ts_delta, any_value(pat_id) pat_id, first(params) params from template_records group by 1, 2)
+@query(f"""with x as (select segment_id, original_idx, any_value(ts_delta) ts_delta, any_value(pat_id) pat_id, any_value(svc_id) svc_id, first(params) params from template_records group by 1, 2)
   select x.segment_id, x.original_idx, sum(ts_delta) over (partition by x.segment_id order by x.original_idx) t, x.pat_id, len(x.params) n_params,
-    array_to_string([p.text for p in t.parts if not p.is_param], ' ') literals from x left join templates t on x.pat_id = t.pat_id""")
+    array_to_string([p.text for p in t.parts if not p.is_param], ' ') literals, services[svc_id + 1] service
+  from x left join templates t on x.pat_id = t.pat_id left join segments g on x.segment_id = g.segment_id""")
 def stored_records(spark, d):  # noqa: ANN001, ANN201
     from pyspark.sql import Window
 
-    r = table(spark, d, "template_records").select("segment_id", "original_idx", "ts_delta", "pat_id", F.size("params").alias("n_params"))
-    once = r.groupBy("segment_id", "original_idx").agg(F.first("ts_delta").alias("ts_delta"), F.first("pat_id").alias("pat_id"), F.first("n_params").alias("n_params"))
+    r = table(spark, d, "template_records").select("segment_id", "original_idx", "ts_delta", "pat_id", "svc_id", F.size("params").alias("n_params"))
+    once = r.groupBy("segment_id", "original_idx").agg(F.first("ts_delta").alias("ts_delta"), F.first("pat_id").alias("pat_id"), F.first("svc_id").alias("svc_id"), F.first("n_params").alias("n_params"))
     w = Window.partitionBy("segment_id").orderBy("original_idx").rowsBetween(Window.unboundedPreceding, 0)
     literals = F.array_join(F.transform(F.filter("parts", lambda p: ~p["is_param"]), lambda p: p["text"]), " ")
     names = table(spark, d, "templates").select("pat_id", literals.alias("literals"))
-    return once.join(names, "pat_id", "left").select(
-        "segment_id", "original_idx", F.sum("ts_delta").over(w).alias("t"), "pat_id", F.when(F.col("n_params") >= 0, F.col("n_params").cast("long")).alias("n_params"), "literals"
+    services = table(spark, d, "segments").select("segment_id", "services")
+    return once.join(names, "pat_id", "left").join(services, "segment_id", "left").select(
+        "segment_id", "original_idx", F.sum("ts_delta").over(w).alias("t"), "pat_id", F.when(F.col("n_params") >= 0, F.col("n_params").cast("long")).alias("n_params"), "literals", F.get("services", F.col("svc_id")).alias("service")
     )
 
 
+@query("select distinct segment_id, pat_id from template_records where pat_id in (3, 7, 100)")
+def segments_with_pattern(spark, d):  # noqa: ANN001, ANN201
+    ids = cut(segments.pattern_ids(table(spark, d, "template_records")))
+    found = None
+    for p in (3, 7, 100):
+        one = ids.filter(segments.may_contain_pattern(p)).select("segment_id", F.lit(p).alias("pat_id"))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+@query(r"""with w as (select distinct pat_id from (select pat_id, unnest(string_split_regex(lower(p.text), '\s+')) word from (select pat_id, unnest(parts) p from templates) where not p.is_param) where word = 'session')
+  select segment_id, count(*) n_records from template_records semi join w using (pat_id) group by 1""")
+def keyword_segments(spark, d):  # noqa: ANN001, ANN201
+    words = templates.keyword_map(table(spark, d, "templates"), ())
+    return templates.segments_of_keyword("session", words, table(spark, d, "template_records").select("segment_id", "pat_id"))
+
+
+@query("""select segment_id, seq, case when count(*) over w <= 1000 and sum(strlen(m)) over w <= 100000 then 0 else cast((seq % 1024) // 256 as int) end chunk from logs window w as (partition by segment_id)""")
+def chunk_policy(spark, d):  # noqa: ANN001, ANN201
+    logs = event_logs(spark, d).withColumn("seq_in_segment", F.col("seq") % 1024)
+    return segments.chunked(logs, 256, 1000, 100_000).select("segment_id", "seq", "chunk")
+
+
 # Scalar functions.
 @query("select seq, (t // 1000) || '.' || (t % 1000) ts, '[' || (t // 1000) || '.' || (t % 1000) || '] [' || s || '] ' || l || ': ' || m line from logs")
 def format_lines(spark, d):  # noqa: ANN001, ANN201
@@ -504,18 +533,33 @@ def crc32_messages(spark, d):  # noqa: ANN001, ANN201
     return event_logs(spark, d).select("seq", _crc(F.col("m")).alias("crc"))
 
 
-@query()
+_FNV = "list_reduce(list_prepend(14695981039346656037::uhugeint, list_transform(range(1, length(m) + 1), lambda i: ascii(m[i])::uhugeint)), lambda h, b: (xor(h, b) * 1099511628211::uhugeint) % 18446744073709551616::uhugeint)"
+_MIXED = "(xor({h}, {h} // 8589934592::uhugeint) * {f}::uhugeint) % 18446744073709551616::uhugeint"
+
+
+@query(f"""with {LOGS_SQL}, h as (select seq, {_FNV} h from logs),
+  a as (select *, {_MIXED.format(h="((h + 1) % 18446744073709551616::uhugeint)", f=0xFF51AFD7ED558CCD)} a from h), b as (select *, {_MIXED.format(h="a", f=0xC4CEB9FE1A85EC53)} b from a)
+  select seq, cast(case when h >= 9223372036854775808::uhugeint then h::hugeint - 18446744073709551616::hugeint else h::hugeint end as bigint) hash, cast(xor(b, b // 8589934592::uhugeint) % 512 as int) bit from b""")
 def fnv_hash(spark, d):  # noqa: ANN001, ANN201
     return event_logs(spark, d).select("seq", scalars.hash_path("m").alias("hash"), scalars.bloom_hash("m", F.lit(1)).alias("bit"))
 
 
-@query()
+@query(f"""with recursive {LOGS_SQL},
+  x as materialized (select s stream, t, row_number() over (partition by s order by seq) rn, strlen(json_object('t', t, 's', s, 'l', l, 'm', m)) + 1 nb from logs),
+  r as (select stream, t, rn, 1 lines, nb used, 0::bigint flush from x where rn = 1
+    union all select x.stream, x.t, x.rn, case when full_ then 1 else lines + 1 end, case when full_ then nb else used + nb end, case when full_ then flush + 1 else flush end
+    from (select *, lines >= 1000 or used >= 65536 full_ from r) r join x on x.stream = r.stream and x.rn = r.rn + 1)
+  select stream, flush, count(*) n, min(t) min_ts from r group by 1, 2""")
 def dual_threshold_segments(spark, d):  # noqa: ANN001, ANN201
     logs = event_logs(spark, d).withColumn("stream", F.col("s"))
     return segments.dual_threshold(logs, 1000, 65_536).groupBy("stream", "flush").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("min_ts"))
 
 
-@query()
+@query(_MINED + """, v as (select c.segment_id, sum(strlen(c.tok) + 1) b, count(distinct c.seq) from c join p2 using (segment_id, ts, sub, pos) where lo <> hi group by 1),
+  one as (select segment_id, signature, min((ts, sub)) k from r group by 1, 2),
+  lit as (select one.segment_id, sum(case when lo = hi then strlen(lo) else 0 end + 2) b from one join p2 on p2.segment_id = one.segment_id and (p2.ts, p2.sub) = one.k group by 1),
+  raw as (select segment_id, sum(strlen(json_object('t', t, 's', s, 'l', l, 'm', m)) + 1) b from logs group by 1)
+  select segment_id, cast(raw.b as bigint) raw_bytes, cast(lit.b as bigint) literal_bytes, cast(coalesce(v.b, 0) as bigint) param_bytes, raw.b / (lit.b + coalesce(v.b, 0)) ratio from raw join lit using (segment_id) left join v using (segment_id)""")
 def compression_report(spark, d):  # noqa: ANN001, ANN201
     """Raw bytes, bytes as templates and parameters, and their ratio, per segment."""
     logs = event_logs(spark, d)

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 COMPACT = "t BIGINT, s STRING, l STRING, m STRING"
-STANDARD = "timestamp BIGINT, ts BIGINT, service STRING, s STRING, level STRING, l STRING, message STRING, m STRING"
 
 
 def infer_level(line: Column) -> Column:
@@ -22,23 +21,34 @@ def trim_line(line: Column) -> Column:
 def parse_lines(df: DataFrame, line: Column, default_t: Column, default_service: Column, keep: tuple[str, ...] = ()) -> DataFrame:
     """(keep..., rule, t, s, l, m) of every line that is not blank; null lines are blank.
 
-    The first rule that fits is named in `rule`: compact (all of t, s, l, m present), standard (a JSON object with any of
-    the long or short names; short ones win), nginx (the line holds HTTP/), fallback.
+    The first rule that fits is named in `rule`: compact (a JSON object with all of t, s, l, m), standard (any JSON object
+    in which those of the long and short names that it has are of the right type; short ones win), nginx (the line
+    holds HTTP/), fallback.  Times must be whole numbers from 0, the other fields texts; null counts as absent.
     """
     x = df.select(*keep, trim_line(line).alias("line"), default_t.alias("dt"), default_service.alias("ds")).filter("line <> ''")
-    is_json = F.col("line").startswith("{") & F.col("line").endswith("}")
-    x = x.withColumn("c", F.when(is_json, F.from_json("line", COMPACT))).withColumn("j", F.when(is_json, F.from_json("line", STANDARD, {"mode": "PERMISSIVE"})))
-    compact = F.col("c.t").isNotNull() & F.col("c.s").isNotNull() & F.col("c.l").isNotNull() & F.col("c.m").isNotNull()
-    ok = F.col("j").isNotNull() & F.coalesce(*(F.col(f"j.{f.split()[0]}").cast("string") for f in STANDARD.split(", "))).isNotNull()
+    # as the only element of an array, so that nothing may follow the object
+    json = F.when(F.col("line").startswith("{") & F.col("line").endswith("}"), F.try_parse_json(F.concat(F.lit("["), "line", F.lit("]"))))
+    x = x.withColumn("v", F.when(F.schema_of_variant(json).startswith("ARRAY<OBJECT") & F.try_variant_get(json, "$[1]", "variant").isNull(), F.try_variant_get(json, "$[0]", "variant")))
+    kind = lambda c: F.coalesce(F.schema_of_variant(F.variant_get("v", f"$.{c}", "variant")), F.lit("VOID"))
+    get = lambda c, t="string": F.try_variant_get("v", f"$.{c}", t)
+    text = lambda c: kind(c) == "STRING"
+    time = lambda c: (kind(c) == "BIGINT") & (get(c, "bigint") >= 0)
+    absent = lambda c: kind(c) == "VOID"
+    compact, standard = time("t"), F.col("v").isNotNull()
+    for c in ("s", "l", "m"):
+        compact = compact & text(c)
+    for c in ("timestamp", "ts"):
+        standard = standard & (absent(c) | time(c))
+    for c in ("service", "level", "message", "s", "l", "m"):
+        standard = standard & (absent(c) | text(c))
     web = F.col("line").contains("HTTP/")
-    rule = F.when(compact, "compact").when(ok, "standard").when(web, "nginx").otherwise("fallback")
-    x = x.withColumn("rule", rule)
+    x = x.withColumn("rule", F.when(compact, "compact").when(standard, "standard").when(web, "nginx").otherwise("fallback"))
     r = F.col("rule")
     return x.select(
         *keep,
         "rule",
-        F.when(r == "compact", F.col("c.t")).when(r == "standard", F.coalesce("j.ts", "j.timestamp", "dt")).otherwise(F.col("dt")).alias("t"),
-        F.when(r == "compact", F.col("c.s")).when(r == "standard", F.coalesce("j.s", "j.service", "ds")).when(r == "nginx", F.lit("nginx")).otherwise(F.col("ds")).alias("s"),
-        F.when(r == "compact", F.col("c.l")).when(r == "standard", F.coalesce("j.l", "j.level", F.lit("I"))).when(r == "nginx", F.lit("I")).otherwise(infer_level(F.col("line"))).alias("l"),
-        F.when(r == "compact", F.col("c.m")).when(r == "standard", F.coalesce("j.m", "j.message", "line")).otherwise(F.col("line")).alias("m"),
+        F.when(r == "compact", get("t", "bigint")).when(r == "standard", F.coalesce(get("ts", "bigint"), get("timestamp", "bigint"), "dt")).otherwise(F.col("dt")).alias("t"),
+        F.when(r == "compact", get("s")).when(r == "standard", F.coalesce(get("s"), get("service"), "ds")).when(r == "nginx", F.lit("nginx")).otherwise(F.col("ds")).alias("s"),
+        F.when(r == "compact", get("l")).when(r == "standard", F.coalesce(get("l"), get("level"), F.lit("I"))).when(r == "nginx", F.lit("I")).otherwise(infer_level(F.col("line"))).alias("l"),
+        F.when(r == "compact", get("m")).when(r == "standard", F.coalesce(get("m"), get("message"), "line")).otherwise(F.col("line")).alias("m"),
     )
