@@ -72,8 +72,8 @@ def p6_packing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _phrases(spark: SparkSession, d: str, slop: int) -> DataFrame:
-    items = phrases.bounded_queries(table(spark, d, "eval_items"), F.col("item_id"), F.col("text"))
-    return phrases.phrase_matches(table(spark, d, "documents"), F.col("doc_id"), F.col("text"), items, length=12, slop=slop)
+    docs, items = table(spark, d, "documents"), table(spark, d, "eval_items")
+    return phrases.search_all(docs, F.col("doc_id"), F.col("text"), items, F.col("item_id"), F.col("text"), length=12, slop=slop)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -206,6 +206,23 @@ def test_proximity(spark):
 def test_too_many_queries(spark):
     with pytest.raises(ValueError):
         phrases.bounded_queries(spark.range(5), F.col("id"), F.col("id").cast("string"), most=4)
+    with pytest.raises(ValueError):
+        phrases.bounded_queries(spark.range(5), F.col("id"), F.lit("x" * 30), chars=100)
+    assert len(phrases.bounded_queries(spark.range(1), F.col("id"), F.lit("x" * 300), chars=100)) == 1
+
+
+@pytest.mark.parametrize("most,chars", [(4, 10**6), (100, 700)])
+def test_blocks_of_queries_give_the_same(spark, monkeypatch, most, chars):
+    rng = random.Random(9)
+    items = {i: " ".join(rng.choice(WORDS) for _ in range(rng.choice([5, 14, 30]))) for i in range(20)}
+    docs = [(d, " ".join([*(rng.choice(WORDS) for _ in range(20)), *items[rng.randrange(20)].split()[1:], "end"])) for d in range(40)]
+    df = spark.createDataFrame(docs, "k long, t string")
+    qs = spark.createDataFrame([*items.items(), (None, "x"), (99, None)], "i long, q string")
+    monkeypatch.setattr(phrases, "CANDIDATES", 16)
+    key = lambda rows: sorted(map(tuple, rows.distinct().collect()))
+    whole = phrases.phrase_matches(df, F.col("k"), F.col("t"), items)
+    assert key(phrases.search_all(df, F.col("k"), F.col("t"), qs, F.col("i"), F.col("q"), most=most, chars=chars)) == key(whole) and whole.count() > 10
+    assert phrases.search_all(df, F.col("k"), F.col("t"), qs.limit(0), F.col("i"), F.col("q")).count() == 0
 
 
 # -- spans
