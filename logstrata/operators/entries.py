@@ -79,6 +79,7 @@ class Layout:
     lead    else, pattern of what stands between the last role and the message
     quoted  whether the message stands in quotation marks then
     end     tokens of the template up to the last role
+    starts  the mark that its lines begin with; empty for a letter or a digit, None for anything
     """
 
     pattern: str
@@ -89,6 +90,7 @@ class Layout:
     lead: str = ""
     quoted: bool = False
     end: int = 0
+    starts: str | None = None
 
     def whole(self) -> bool:
         """Whether it gives both a level and a component."""
@@ -271,6 +273,8 @@ def layouts(templates: list[tuple[tuple[str, ...], int]]) -> list[Layout]:
         x = classify(t, n)
         if x is None:
             continue
+        solid = t[0] in _TYPE_PATTERN or t[0][-1] == "="
+        x = replace(x, starts=None if t[0] in (ANY, PATH) else "" if solid else t[0][0])
         key = next((k for head, k in heads if t[: len(head)] == head), (x.pattern, x.web))
         if key not in found and x.whole() and not any(map(is_key, t)):
             end = t.index(WEB) + 1 if x.web else x.end
@@ -279,17 +283,21 @@ def layouts(templates: list[tuple[tuple[str, ...], int]]) -> list[Layout]:
     return sorted(found.values(), key=lambda x: (not x.whole(), -x.n, x.pattern))
 
 
-def header(line: str, at_most: int | None, compiled: list[tuple[re.Pattern[str], bool]]) -> tuple[int, str | None, str | None] | None:
+def header(line: str, at_most: int | None, compiled: list[tuple]) -> tuple[int, str | None, str | None] | None:
     """(t, level, component) if a line carries its own header from the first character on, else None."""
     found = _header(line, at_most, compiled)
     return found and found[0]
 
 
-def _header(line: str, at_most: int | None, compiled: list[tuple[re.Pattern[str], bool]]) -> tuple[tuple[int, str | None, str | None], int, int] | None:
+def _header(line: str, at_most: int | None, compiled: list[tuple]) -> tuple[tuple[int, str | None, str | None], int, int] | None:
     """The header, where it ends, and the number of its layout."""
     if not line or line[0].isspace():
         return None
-    for k, (pattern, web) in enumerate(compiled):
+    first = line[0]
+    for k, (pattern, web, *starts) in enumerate(compiled):
+        # most layouts are told apart by their first character
+        if starts and starts[0] is not None and (first != starts[0] if starts[0] else not first.isalnum() and first not in "_@"):
+            continue
         m = pattern.match(line)
         if not m:
             continue
@@ -312,7 +320,7 @@ def _header(line: str, at_most: int | None, compiled: list[tuple[re.Pattern[str]
 
 def _extract(found: list[Layout]):  # noqa: ANN202
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compiled = [(re.compile(x.pattern), x.web) for x in found]
+        compiled = [(re.compile(x.pattern), x.web, x.starts) for x in found]
         for pdf in batches:
             hits = [_header(s, None if ts != ts else int(ts), compiled) for s, ts in zip(pdf["line"], pdf["ts"])]
             keep = [h is not None for h in hits]

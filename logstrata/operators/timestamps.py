@@ -110,6 +110,8 @@ def _instants(year: int, month: int, day: int, clock: tuple[int, int, int, int],
         wall = datetime(year, month, day, clock[0], clock[1], clock[2]) + timedelta(milliseconds=clock[3])
     except ValueError:
         return []
+    if offset is None and zone == "UTC":
+        offset = 0
     return wall_instants(wall, zone) if offset is None else [_millis(wall) - offset * 60_000]
 
 
