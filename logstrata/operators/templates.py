@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logstrata.functions.tokens import tokenize, type_sequence, typed_param
-from logstrata.session import cut
+from logstrata.session import cut, partitions
 
 
 def tokenize_at_most(message: str, max_tokens: int | None = None) -> Column:
@@ -15,27 +15,25 @@ def tokenize_at_most(message: str, max_tokens: int | None = None) -> Column:
     return tokens if max_tokens is None else F.when(F.size(tokens) > max_tokens, F.array(message)).otherwise(tokens)
 
 
-def _aligned(rows: DataFrame, key: list[str], max_tokens: int | None) -> DataFrame:
+def _aligned(rows: DataFrame, key: list[str]) -> DataFrame:
     """(key..., signature, first_seq, fixed): per group, the tokens that all rows share at a position, null elsewhere.
 
     Every row is compared with the first row of its group; what differs is a bit of a 64-bit word, and the words are
     combined by OR.  So a row costs one number per 64 tokens, combined in a hash table before anything is shuffled,
     however long the group.
     """
-    first = rows.groupBy(*key).agg(F.min("seq").alias("seq"))
-    model = rows.join(first, [*key, "seq"]).groupBy(*key, F.col("seq").alias("first_seq")).agg(F.first(tokenize_at_most("m", max_tokens)).alias("model"))
-    token = lambda c, i: F.get(F.col(c), i)
+    model = rows.groupBy(*key).agg(F.min("seq").alias("first_seq"), F.min_by("tokens", "seq").alias("model"))
+    differs = F.zip_with("tokens", "model", lambda t, x: t != x)
     word = lambda w: F.aggregate(
-        F.sequence(w * 64, F.least(w * 64 + 63, F.size("model") - 1)), F.lit(0).cast("long"),
-        lambda acc, i: acc.bitwiseOR(F.when(token("tokens", i) != token("model", i), F.call_function("shiftleft", F.lit(1).cast("long"), i - w * 64)).otherwise(F.lit(0).cast("long"))),
-    )
-    compared = rows.select(*key, tokenize_at_most("m", max_tokens).alias("tokens")).join(model, key)
-    words = compared.select(*key, F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size("model") - 1) / 64).cast("int")), word)).alias("w", "bits"))
+        F.slice(differs, w * 64 + 1, F.lit(64)), F.struct(F.lit(0).cast("long").alias("bits"), F.lit(0).alias("i")),
+        lambda acc, d: F.struct(acc["bits"].bitwiseOR(F.when(d, F.call_function("shiftleft", F.lit(1).cast("long"), acc["i"])).otherwise(F.lit(0).cast("long"))).alias("bits"), (acc["i"] + 1).alias("i")),
+    )["bits"]
+    words = rows.join(model, key).select(*key, F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size("model") - 1) / 64).cast("int")), word)).alias("w", "bits"))
     masks = words.groupBy(*key, "w").agg(F.bit_or("bits").alias("bits")).groupBy(*key).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("w", "bits"))), lambda x: x["bits"]).alias("masks")
     )
-    differs = lambda i: F.getbit(F.get("masks", F.floor(i / 64).cast("int")), F.pmod(i, F.lit(64))) == 1
-    signature = F.transform("model", lambda t, i: F.when(~differs(i), t))
+    differ = lambda i: F.getbit(F.get("masks", F.floor(i / 64).cast("int")), F.pmod(i, F.lit(64))) == 1
+    signature = F.transform("model", lambda t, i: F.when(~differ(i), t))
     return model.join(masks, key).select(*key, signature.alias("signature"), "first_seq").withColumn("fixed", F.size(F.filter("signature", lambda t: t.isNotNull())))
 
 
@@ -48,15 +46,19 @@ def mine(logs: DataFrame, max_tokens: int | None = None) -> tuple[DataFrame, Dat
     shares less than a quarter of its positions, and less than two at least, is split by its first four tokens.  Equal
     templates of different groups are one; ids follow the first row.  Empty messages have an empty template.  With
     max_tokens, longer messages are literal templates of one token.  Null messages have no template.
+
+    Messages are cut into tokens once and shuffled once, by segment; every later step keeps that partitioning.  A
+    segment is a bounded set of rows, as it is where segments are written.
     """
-    tokens = tokenize_at_most("m", max_tokens)
-    rows = logs.filter("m is not null").select("segment_id", "seq", "m")
+    rows = logs.filter("m is not null").select("segment_id", "seq", tokenize_at_most("m", max_tokens).alias("tokens"))
+    rows = rows.repartition(partitions(logs), "segment_id")
     # the sequence of types is as long as the message; a hash of it keys the groups, and is found only once
-    typed = cut(rows.select("segment_id", "seq", "m", F.size(tokens).alias("n"), F.xxhash64(type_sequence(tokens), F.size(tokens)).alias("shape")))
+    shape = F.xxhash64(type_sequence(F.col("tokens")), F.size("tokens"))
+    typed = cut(rows.select("segment_id", "seq", "tokens", F.size("tokens").alias("n"), shape.alias("shape")))
     # positions exist only where there are tokens; empty messages form a group of their own
     filled, empty = typed.filter("n > 0"), typed.filter("n = 0")
     key = ["segment_id", "shape", "sub"]
-    first = cut(_aligned(filled, key[:2], max_tokens)).withColumn("split", F.col("fixed") < F.greatest(F.floor(F.size("signature") / 4), F.lit(2)))
+    first = cut(_aligned(filled, key[:2])).withColumn("split", F.col("fixed") < F.greatest(F.floor(F.size("signature") / 4), F.lit(2)))
     whole = F.lit(0).cast("long").alias("sub")
     groups = first.filter("not split").select(*key[:2], whole, "signature", "first_seq").unionByName(
         empty.groupBy(*key[:2]).agg(F.min("seq").alias("first_seq")).select(*key[:2], whole, F.array().cast("array<string>").alias("signature"), "first_seq")
@@ -64,17 +66,18 @@ def mine(logs: DataFrame, max_tokens: int | None = None) -> tuple[DataFrame, Dat
     all_rows = typed.withColumn("sub", whole)
     if not first.filter("split").isEmpty():
         shapes = first.select(*key[:2], "split")
-        start = F.xxhash64(F.array_join(F.slice(tokens, 1, 4), "\0"))
+        start = F.xxhash64(F.array_join(F.slice("tokens", 1, 4), "\0"))
         all_rows = typed.join(shapes, key[:2], "left").withColumn("sub", F.when(F.col("split"), start).otherwise(F.lit(0).cast("long")))
-        groups = groups.unionByName(_aligned(all_rows.filter("split").drop("split"), key, max_tokens).select(groups.columns))
+        groups = groups.unionByName(_aligned(all_rows.filter("split").drop("split"), key).select(groups.columns))
     groups = cut(groups)
     lowest = groups.groupBy("segment_id", "signature").agg(F.min("first_seq").alias("first_seq"))
     ids = lowest.withColumn("pat_id", (F.row_number().over(Window.partitionBy("segment_id").orderBy("first_seq")) - 1).cast("int"))
-    keyed = groups.select(*key, "signature").join(ids.select("segment_id", "signature", "pat_id"), ["segment_id", "signature"])
-    found = all_rows.select("segment_id", "seq", "m", "shape", "sub").join(keyed, key)
-    varying = F.filter(F.arrays_zip(tokens.alias("tok"), F.col("signature").alias("lit")), lambda x: x["lit"].isNull())
+    keyed = cut(groups.select(*key, "signature").join(ids.select("segment_id", "signature", "pat_id"), ["segment_id", "signature"]))
+    found = all_rows.select("segment_id", "seq", "tokens", "shape", "sub").join(keyed, key)
+    varying = F.filter(F.arrays_zip(F.col("tokens").alias("tok"), F.col("signature").alias("lit")), lambda x: x["lit"].isNull())
     records = found.select("segment_id", "seq", "pat_id", F.transform(varying, lambda x: typed_param(x["tok"])).alias("params"))
-    counts = found.groupBy("segment_id", "pat_id").agg(F.count(F.lit(1)).alias("row_count"))
+    sizes = all_rows.groupBy(*key).agg(F.count(F.lit(1)).alias("k"))
+    counts = sizes.join(keyed.select(*key, "pat_id"), key).groupBy("segment_id", "pat_id").agg(F.sum("k").alias("row_count"))
     parts = F.transform("signature", lambda t: F.struct(t.isNull().alias("is_param"), F.coalesce(t, F.lit("")).alias("text")))
     templates = ids.join(counts, ["segment_id", "pat_id"]).select("segment_id", "pat_id", parts.alias("parts"), "signature", "row_count")
     return templates, records
