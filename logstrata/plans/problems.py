@@ -22,16 +22,20 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_services(spark: SparkSession, d: str) -> DataFrame:
-    """Rows, levels and time range of arrival of every service."""
-    return hotkeys.key_summary(table(spark, d, "log_lines"), F.col("service"), F.col("level"), F.col("recv_t"))
+    """Rows, levels and range of arrival of every service."""
+    found = hotkeys.key_summary(table(spark, d, "log_lines"), F.col("service"), F.col("level"), F.col("recv_t"))
+    return found.withColumnsRenamed({"first_t": "first_arrival", "last_t": "last_arrival"})
 
 
-def p2_templates(spark: SparkSession, d: str) -> DataFrame:
-    """Rows, levels and range of the stored time column of every template."""
-    return hotkeys.key_summary(table(spark, d, "template_records"), F.col("pat_id"), F.col("level"), F.col("ts_delta"))
+def p2_service_times(spark: SparkSession, d: str) -> DataFrame:
+    """Rows, levels and time range of every service, by the instants that the lines themselves give."""
+    lines, sources = table(spark, d, "log_lines"), table(spark, d, "log_sources").select(F.col("stream_id").alias("source"), "zone")
+    keep = {c: F.col(c) for c in ("service", "level")}
+    timed = timestamps.line_instants(lines, sources, F.col("ts"), F.col("stream_id"), F.col("recv_t"), keep)
+    return hotkeys.key_summary(timed, F.col("service"), F.col("level"), F.col("t"))
 
 
-def p2_template_times(spark: SparkSession, d: str) -> DataFrame:
+def p2_templates(spark: SparkSession, d: str) -> DataFrame:
     """Rows, levels and time range of every template, the instants of its records being restored from the differences."""
     records = table(spark, d, "template_records").select("segment_id", "original_idx", "ts_delta", "pat_id", "level")
     timed = timestamps.restored(records, F.col("segment_id"), F.col("original_idx"), F.col("ts_delta"))
@@ -54,13 +58,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_services, p2_templates, p2_template_times, p4_found, p5_entries, p5_found)}
+    return {f.__name__: f for f in (p2_found, p2_services, p2_service_times, p2_templates, p4_found, p5_entries, p5_found)}
 
 
 _SUMMARY = """
 select {key} key, count(*) n_rows,
   count(*) filter (lvl = 'D') n_debug, count(*) filter (lvl = 'I') n_info, count(*) filter (lvl = 'W') n_warn, count(*) filter (lvl = 'E') n_error,
-  count(*) filter (lvl is null) n_other_level, min({time}) first_t, max({time}) last_t
+  count(*) filter (lvl is null) n_other_level, min({time}) {first}, max({time}) {last}
 from (select *, case when upper(trim(level)) in ('D', 'DEBUG') then 'D' when upper(trim(level)) in ('I', 'INFO') then 'I'
   when upper(trim(level)) in ('W', 'WARN', 'WARNING') then 'W' when upper(trim(level)) in ('E', 'ERR', 'ERROR') then 'E' end lvl from {table})
 group by 1"""
@@ -74,7 +78,6 @@ def oracle_sql() -> dict[str, str]:
     hot = "select '{t}' tbl, cast({c} as varchar) hot_key from {t} where {c} is not null group by {c} having count(*) >= 0.04 * (select count(*) from {t})"
     return {
         "p2_found": hot.format(t="log_lines", c="service") + " union all " + hot.format(t="template_records", c="pat_id"),
-        "p2_services": _SUMMARY.format(key="service", time="recv_t", table="log_lines"),
-        "p2_templates": _SUMMARY.format(key="pat_id", time="ts_delta", table="template_records"),
-        "p2_template_times": _SUMMARY.format(key="pat_id", time="t", table=_RESTORED),
+        "p2_services": _SUMMARY.format(key="service", time="recv_t", table="log_lines", first="first_arrival", last="last_arrival"),
+        "p2_templates": _SUMMARY.format(key="pat_id", time="t", table=_RESTORED, first="first_t", last="last_t"),
     }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The messages of the plain generator, and of the varied one as (service, level, pattern).
+# The messages of the plain generator.
 MESSAGES = (
     "User login successful",
     "Connection timeout after 3000ms",
@@ -17,6 +17,7 @@ MESSAGES = (
     "WARN: retry attempt 3/3",
     "Config reloaded successfully",
 )
+#: Patterns of the varied generator as (service, level, pattern).
 VARIED = (
     ("nginx", "I", "GET /api/v1/items/%d 200 %dms"),
     ("nginx", "W", "slow request /api/v1/search/%d took %dms"),

@@ -12,7 +12,8 @@ class LogTail(DataSource):
     """format("logtail"): one row (value) per line of the file at `path`.
 
     startingOffset is 'latest' (the default: only what is written from now on) or 'earliest'.  A line counts once its
-    end is written.  A file that shrinks has been replaced and is read from its start.  The file lies on one machine, so
+    end is written.  A micro-batch reads maxBytes of the file at most (16 MB by default) and the next goes on from there, so
+    a long file never lies in memory as a whole; only a single line may be longer.  A file that shrinks has been replaced and is read from its start.  The file lies on one machine, so
     its reader does too; use a directory source for files that executors can read.
     """
 
@@ -31,6 +32,7 @@ class _Reader(SimpleDataSourceStreamReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.path = options["path"]
         self.latest = options.get("startingOffset", "latest") == "latest"
+        self.most = int(options.get("maxBytes", 16 << 20))
 
     def _size(self) -> int:
         return os.path.getsize(self.path) if os.path.exists(self.path) else 0
@@ -44,7 +46,9 @@ class _Reader(SimpleDataSourceStreamReader):
             return iter(()), start
         with open(self.path, "rb") as f:
             f.seek(at)
-            data = f.read()
+            data = f.read(self.most)
+            while b"\n" not in data and (more := f.read(self.most)):
+                data += more
         whole = data[: data.rfind(b"\n") + 1]
         return self._rows(whole), {"at": at + len(whole)}
 

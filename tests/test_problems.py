@@ -48,11 +48,25 @@ def test_instants_are_restored_from_differences(spark):
 def test_template_times_lie_in_their_segments(spark):
     d = "/root/testdata/sf0.001"
     low, high = spark.read.parquet(f"{d}/segments.parquet").agg(F.min("min_ts"), F.max("max_ts")).first()
-    got = problems.p2_template_times(spark, d).collect()
+    got = problems.p2_templates(spark, d).collect()
     assert min(r.first_t for r in got) == low and max(r.last_t for r in got) == high
     assert sum(r.n_rows for r in got) == spark.read.parquet(f"{d}/template_records.parquet").count()
 
 
+def test_service_times_are_the_lines_own(spark):
+    d = "/root/testdata/sf0.001"
+    got = {r.key: r for r in problems.p2_service_times(spark, d).collect()}
+    arrival = {r.key: r for r in problems.p2_services(spark, d).collect()}
+    assert {k: r.n_rows for k, r in got.items()} == {k: r.n_rows for k, r in arrival.items()} and {k: r.n_error for k, r in got.items()} == {k: r.n_error for k, r in arrival.items()}
+    times = {r.line_id: r.t for r in problems.p4_found(spark, d).collect()}
+    own = {}
+    for r in spark.read.parquet(f"{d}/log_lines.parquet").select("line_id", "service", "ts").collect():
+        t = int(r.ts) if r.ts and len(r.ts) == 13 and r.ts.isdigit() else times.get(r.line_id)
+        if t is not None:
+            own.setdefault(r.service, []).append(t)
+    assert {k: (r.first_t, r.last_t) for k, r in got.items()} == {k: (min(own[k]), max(own[k])) if k in own else (None, None) for k in got}
+
+
 # -- timestamps
 
 T = utc(2024, 3, 31, 12, 0, 5)

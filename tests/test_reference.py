@@ -140,7 +140,7 @@ def test_queries_without_sql(spark):
 
     from logstrata.plans.logs import event_logs
 
-    assert ALL.keys() - SQL.keys() == {"crc32_messages", "p4_found", "p5_found", "p5_entries"}
+    assert ALL.keys() - SQL.keys() == {"crc32_messages", "p2_service_times", "p4_found", "p5_found", "p5_entries"}
     want = {r.seq: zlib.crc32(r.m.encode()) for r in event_logs(spark, D).select("seq", "m").collect()}
     assert {r.seq: r.crc for r in reference.queries()["crc32_messages"](spark, D).collect()} == want
     # p5 is read independently in test_headers; p4 row by row here, from the notations alone

@@ -25,6 +25,13 @@ def test_tail_reads_whole_lines(spark, tmp_path):
     assert list(rows) == [("new line",)] and list(r.readBetweenOffsets(at, end)) == [("new line",)]
     f.write_bytes(b"z\n")
     assert list(r.read(end)[0]) == [("z",)]
+    f.write_bytes(b"one\ntwo\n" + b"x" * 40 + b"\nlast\n")
+    r, at, parts = _Reader({"path": str(f), "startingOffset": "earliest", "maxBytes": "10"}), {"at": 0}, []
+    while (got := r.read(at))[1] != at:
+        parts.append([x for x, in got[0]])
+        at = got[1]
+    assert parts == [["one", "two"], ["x" * 40, "last"]] or [x for p in parts for x in p] == ["one", "two", "x" * 40, "last"] and len(parts) > 1
+    f.write_bytes(b"z\n")
     store = LogStore(spark, str(tmp_path / "store"))
     q = ingest(tail_lines(spark, str(f), "earliest"), store, "app", str(tmp_path / "ck"))
     q.processAllAvailable()
