@@ -185,8 +185,10 @@ def pack_tokens(counts: DataFrame, capacities: list[int], block_rows: int = BLOC
     if not capacities or min(capacities) < 1:
         raise ValueError("capacities must be positive")
     blocks = max(1, math.ceil(counts.count() / block_rows))
-    # a row's own hash spreads repeated ids too
-    spread = counts.withColumn("block", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(blocks)))
+    # equal rows are numbered, so that repeated ids spread too and blocks don't depend on how the rows lie
+    equal = counts.groupBy("doc_id", "n_tokens").agg(F.count(F.lit(1)).alias("k"))
+    each = equal.select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(1).cast("long"), "k")).alias("copy"))
+    spread = each.select("doc_id", "n_tokens", F.pmod(F.xxhash64("doc_id", "n_tokens", "copy"), F.lit(blocks)).alias("block"))
     return spread.groupBy("block").applyInPandas(_pack_block(sorted(capacities)), _PACKED)
 
 

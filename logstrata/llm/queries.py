@@ -45,13 +45,20 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return logs.select(F.lit("log_lines").alias("tbl"), *cols).unionByName(records.select(F.lit("template_records").alias("tbl"), *cols))
 
 
-def p3_runs(spark: SparkSession, d: str) -> DataFrame:
-    """Runs of log_lines with their duration between the first and the last arrival."""
-    logs = runs(table(spark, d, "log_lines"), F.col("stream_id"), F.col("seq"), text_event(F.col("message")), F.col("recv_t"))
-    return logs.select("sequence_id", "first_pos", "last_pos", "n_members", (F.col("last_t") - F.col("first_t")).alias("duration_ms"))
+def _timed(found: DataFrame, name: str) -> DataFrame:
+    took = F.when(F.col("n_timed") > 1, F.col("high_t") - F.col("low_t"))
+    return found.select(
+        F.lit(name).alias("tbl"), "sequence_id", "first_pos", "last_pos", "n_members", "n_timed", F.col("low_t").alias("first_t"), F.col("high_t").alias("last_t"), took.alias("duration_ms")
+    )
+
+
+def p3_record_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of template_records with their duration, by instants restored from the differences."""
+    restored = timestamps.restored(template_events(spark, d), F.col("segment_id"), F.col("original_idx"), F.col("ts_delta"))
+    return _timed(runs(restored, F.col("segment_id"), F.col("original_idx"), F.col("event"), F.col("t"), extent=True), "template_records")
 
 
-def p3_durations(spark: SparkSession, d: str) -> DataFrame:
+def p3_runs(spark: SparkSession, d: str) -> DataFrame:
     """Runs of both tables with their duration, from the earliest to the latest of the members' own instants.
 
     The duration is null where fewer than two members have a readable instant; n_timed tells how many have.
@@ -59,11 +66,7 @@ def p3_durations(spark: SparkSession, d: str) -> DataFrame:
     lines, sources = table(spark, d, "log_lines"), table(spark, d, "log_sources").select(F.col("stream_id").alias("source"), "zone")
     timed = timestamps.line_instants(lines, sources, F.col("ts"), F.col("stream_id"), F.col("recv_t"), {c: F.col(c) for c in ("stream_id", "seq", "message")})
     logs = runs(timed, F.col("stream_id"), F.col("seq"), text_event(F.col("message")), F.col("t"), extent=True)
-    restored = timestamps.restored(template_events(spark, d), F.col("segment_id"), F.col("original_idx"), F.col("ts_delta"))
-    records = runs(restored, F.col("segment_id"), F.col("original_idx"), F.col("event"), F.col("t"), extent=True)
-    took = F.when(F.col("n_timed") > 1, F.col("high_t") - F.col("low_t"))
-    cols = ["sequence_id", "first_pos", "last_pos", "n_members", "n_timed", F.col("low_t").alias("first_t"), F.col("high_t").alias("last_t"), took.alias("duration_ms")]
-    return logs.select(F.lit("log_lines").alias("tbl"), *cols).unionByName(records.select(F.lit("template_records").alias("tbl"), *cols))
+    return _timed(logs, "log_lines").unionByName(p3_record_runs(spark, d))
 
 
 def p6_packing(spark: SparkSession, d: str) -> DataFrame:
@@ -115,7 +118,7 @@ def p8_class_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_values, p1_ngrams, p3_found, p3_runs, p3_durations, p6_packing, p7_found, p7_passages, p7_near, p8_found, p8_coverage, p8_stretches, p8_classes, p8_class_pairs)}
+    return {f.__name__: f for f in (p1_found, p1_values, p1_ngrams, p3_found, p3_runs, p3_record_runs, p6_packing, p7_found, p7_passages, p7_near, p8_found, p8_coverage, p8_stretches, p8_classes, p8_class_pairs)}
 
 
 _VALUES = """
@@ -134,7 +137,7 @@ n as (select *, case when ev is not null and ev = lag(ev) over w then 0 else 1 e
 g as (select *, sum(fresh) over (partition by sid order by pos) run from n)
 """
 _LOG_EVENTS = r"""
-  select stream_id sid, seq pos, min(recv_t) t,
+  select stream_id sid, seq pos,
     trim(regexp_replace(lower(regexp_replace(' ' || regexp_replace(any_value(message), '\s+', '  ', 'g') || ' ', '\s\S*[0-9]\S*\s', ' ', 'g')), '[^\p{L}]+', ' ', 'g')) ev
   from log_lines group by 1, 2"""
 _TEMPLATE_EVENTS = r"""
@@ -142,6 +145,9 @@ _TEMPLATE_EVENTS = r"""
   from template_records r left join (
     select pat_id, '=' || trim(regexp_replace(lower(array_to_string([p.text for p in parts if not p.is_param], ' ')), '\s+', ' ', 'g')) lit from templates
   ) t on r.pat_id = t.pat_id group by 1, 2"""
+_TIMED_EVENTS = f"""
+  select e.*, cast(sum(dt) over (partition by sid order by pos) as bigint) t from ({_TEMPLATE_EVENTS}) e
+  join (select segment_id sid, original_idx pos, any_value(ts_delta) dt from template_records group by 1, 2) using (sid, pos)"""
 _RUN_ROWS = "select {tbl} sid sequence_id, min(pos) first_pos, max(pos) last_pos, count(*) n_members{more} from g where ev is not null group by sid, run having count(*) > 1"
 
 
@@ -185,5 +191,5 @@ def oracle_sql() -> dict[str, str]:
         "p8_classes": "select distinct doc_id, min(doc_id) over (partition by text) class_id from documents where text is not null",
         "p8_stretches": _SHARED + _STRETCHES + "select * from st",
         "p8_coverage": _SHARED + _STRETCHES + 'select doc_id, coalesce(length(text), 0) n_chars, cast(coalesce(sum("length"), 0) as bigint) shared_chars from documents left join st using (doc_id) group by all',
-        "p3_runs": run(_LOG_EVENTS, "", ", max_by(t, pos) - min_by(t, pos) duration_ms"),
+        "p3_record_runs": run(_TIMED_EVENTS, "'template_records' tbl,", ", count(t) n_timed, min(t) first_t, max(t) last_t, case when count(t) > 1 then max(t) - min(t) end duration_ms"),
     }
