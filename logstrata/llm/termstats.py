@@ -40,18 +40,30 @@ def suffixes(terms: list[str], sigma: int) -> Iterator[tuple[tuple[str, ...], in
 def _emit(sigma: int):  # noqa: ANN202
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table: Counter[tuple[tuple[str, ...], int]] = Counter()
+        # suffixes of one term need no tuples: those that are new to their record, and those that it already had
+        single: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
 
         def flush() -> pd.DataFrame:
-            out = pd.DataFrame({"suffix": [list(s) for s, _ in table], "known": [k for _, k in table], "n": list(table.values())})
+            counts = [(list(s), k, n) for (s, k), n in table.items()]
+            for known, terms in enumerate(single):
+                counts += [([t], known, n) for t, n in terms.items()]
+                terms.clear()
             table.clear()
-            return out
+            return pd.DataFrame(counts, columns=["suffix", "known", "n"])
 
         for pdf in batches:
+            table[(), 0] += len(pdf)  # the empty prefix counts the records
             for terms in pdf["terms"]:
-                table[(), 0] += 1  # the empty prefix counts the records
-                if terms is not None:
+                if terms is None or not len(terms):
+                    continue
+                if sigma > 1:
                     table.update(suffixes(list(terms), sigma))
-                if len(table) > TABLE_ENTRIES:
+                else:
+                    distinct = set(terms)
+                    single[0].update(distinct)
+                    if len(distinct) < len(terms):
+                        single[1].update(Counter(terms) - Counter(distinct))
+                if len(table) + len(single[0]) > TABLE_ENTRIES:
                     yield flush()
         if table:
             yield flush()
