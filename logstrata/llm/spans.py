@@ -289,10 +289,12 @@ class SharedSpans:
         fits = lambda lead, length: (F.col("lead") >= lead) & (F.col("width") - F.col("lead") + lead >= length)
         piece = lambda lead, length: F.substr("around", F.col("lead") - lead + 1, F.lit(length) if isinstance(length, int) else length)
         e1, e2 = lambda text: F.xxhash64(text), lambda text: F.xxhash64(F.lit(7), text)
-        own = ["c1", "c2", "a", "b"]
+        own = ["cid", "a", "b"]
+        # a number for each class, as it travels often; the classes are a checkpoint, so it stays the same
+        classes = self.classes.withColumn("cid", F.monotonically_increasing_id())
         window = {g: F.when(fits(g, n), e1(piece(g, n))) for g in grid}
         inner = [(g, h, n - (h - g)) for g, h in zip(grid, grid[1:])]
-        keyed = self.classes.select(
+        keyed = classes.select(
             *own, "lead", "width", "around",
             F.explode(F.array(*(F.when(fits(g, m), F.struct(F.lit(g).alias("g"), F.lit(h).alias("h"), e1(piece(g, m)).alias("k"), window[g].alias("low"), window[h].alias("high"))) for g, h, m in inner if h - g > 1))).alias("x"),
         ).filter("x is not null").select(*own, "lead", "width", "around", "x.*")
@@ -304,16 +306,16 @@ class SharedSpans:
             (F.col("lead") >= F.col("at")) & (F.col("width") - F.col("lead") + F.col("at") >= n)
         ).select(*own, "at", e1(piece(F.col("at"), n)).alias("e1"), e2(piece(F.col("at"), n)).alias("e2"))
         between = keyed.join(broadcast_if_small(unsettled), ["g", "k"], "left_semi")
-        tested = cut(spans(self.classes, F.array(*map(F.lit, grid))).unionByName(spans(between, F.sequence(F.col("g") + 1, F.col("h") - 1))))
-        shared = tested.groupBy("at", "e1", "e2").agg(F.min("a").alias("x"), F.max("b").alias("y"), F.sum(F.xxhash64("c1", "c2").bitwiseAND(F.lit((1 << 40) - 1))).alias("sig"), F.count(F.lit(1)).alias("n"))
+        tested = cut(spans(classes, F.array(*map(F.lit, grid))).unionByName(spans(between, F.sequence(F.col("g") + 1, F.col("h") - 1))))
+        shared = tested.groupBy("at", "e1", "e2").agg(F.min("a").alias("x"), F.max("b").alias("y"), F.sum(F.xxhash64("cid").bitwiseAND(F.lit((1 << 40) - 1))).alias("sig"), F.count(F.lit(1)).alias("n"))
         rows = tested.join(shared.filter("x <> y").drop("x", "y"), ["at", "e1", "e2"])
         # spans of two leads that the same classes have, and all between them, are one longer span
-        w = Window.partitionBy("c1", "c2").orderBy("at")
+        w = Window.partitionBy("cid").orderBy("at")
         follows = (F.lag("sig").over(w) == F.col("sig")) & (F.lag("n").over(w) == F.col("n"))
-        runs = rows.withColumn("run", F.sum(F.when(follows, 0).otherwise(1)).over(w)).groupBy("c1", "c2", "run").agg(
+        runs = rows.withColumn("run", F.sum(F.when(follows, 0).otherwise(1)).over(w)).groupBy("cid", "run").agg(
             F.min("at").alias("low"), F.max("at").alias("high"), F.min_by("e1", "at").alias("e1"), F.min_by("e2", "at").alias("e2")
         )
-        found = runs.select("e1", "e2", "c1", "c2", (-F.col("high")).alias("off"), (F.col("high") - F.col("low") + n).alias("len"))
+        found = runs.join(classes.select("cid", "c1", "c2"), "cid").select("e1", "e2", "c1", "c2", (-F.col("high")).alias("off"), (F.col("high") - F.col("low") + n).alias("len"))
         # and a class in itself, if two documents have it
         same = self.classes.filter((F.col("a") != F.col("b")) & (F.col("width") >= n)).select(
             F.col("c1").alias("e1"), F.col("c2").alias("e2"), "c1", "c2", (-F.col("lead")).alias("off"), F.col("width").alias("len")
