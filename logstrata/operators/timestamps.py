@@ -181,7 +181,10 @@ def build_dictionary(rows: DataFrame) -> DataFrame:
 
 
 def extend_dictionary(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
-    """Append to the dictionary table at `path` what it lacks, and return the whole; only new strings are parsed."""
+    """Append to the dictionary table at `path` what it lacks, and return the whole; only new strings are parsed.
+
+    Two runs at once may both append a string; both entries are the same, and one of them is read.
+    """
     try:
         old = spark.read.parquet(path)
         if not old.columns:
@@ -194,7 +197,7 @@ def extend_dictionary(spark: SparkSession, path: str, rows: DataFrame) -> DataFr
             raise
         missing = rows
     build_dictionary(missing).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).dropDuplicates(["raw", "zone", "hint"])
 
 
 def normalise(

@@ -130,6 +130,8 @@ def test_dictionary_grows_by_what_is_new(spark, tmp_path):
     assert extend_dictionary(spark, path, rows).count() == 2
     more = rows.unionByName(spark.createDataFrame([("2024-01-02 00:00:00", "UTC", None)], rows.schema))
     assert extend_dictionary(spark, path, more).count() == 3
+    spark.read.parquet(path).write.mode("append").parquet(path)  # as another run at the same time would
+    assert extend_dictionary(spark, path, more).count() == 3
 
 
 # -- log entries
